@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import simhash
+from millrace.llm import langid, simhash
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(load(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_langid": op2_langid,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
     }
