@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import langid, packing, simhash
+from millrace.llm import langid, mixing, packing, simhash
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(load(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_langid": op2_langid,
+        "op3_mixing": op3_mixing,
         "op5_packing": op5_packing,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
