@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import langid, mixing, packing, simhash
+from millrace.llm import langid, mixing, packing, simhash, urlfilter
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(load(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -34,10 +38,13 @@ def queries() -> dict[str, Query]:
         "op2_langid": op2_langid,
         "op3_mixing": op3_mixing,
         "op5_packing": op5_packing,
+        "op6_urlfilter": op6_urlfilter,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_urlfilter": urlfilter.SQL,
+    }
