@@ -3,29 +3,37 @@
 DataFrame operations only. A hub is pre-aggregated before its shuffle (its minimum) and
 met again in a join, whose large partitions Spark can split, so one node may have most of
 the edges. Every round is checkpointed; the number of rounds grows with the logarithm of
-the longest chain.
+the longest chain. Once ONE_TASK edges or fewer are left (they are counted each round), a
+round runs over a single partition, broadcasts at most as many rows and shuffles nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
 
+ONE_TASK = 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _ends(u1: str, v1: str, u2: str, v2: str, u: str, v: str) -> Column:
+    """Two rows of each: (u1, v1) and (u2, v2)."""
+    return F.inline(F.array(F.struct(F.col(u1).alias(u), F.col(v1).alias(v)), F.struct(F.col(u2).alias(u), F.col(v2).alias(v))))
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    both = edges.select(_ends("hi", "lo", "lo", "hi", "u", "v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.filter("v > u").join(F.broadcast(least) if few else least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node, and its neighbours below, are tied to the least of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
+    moved = edges.join(F.broadcast(least) if few else least, "hi").select(_ends("lo", "m", "hi", "m", "hi", "lo"))
+    return moved.filter("hi <> lo").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,8 +50,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(pair.filter("a is not null and b is not null and lo < hi").select("hi", "lo").distinct())
     state = _state(now)
     while state[0]:
-        now = cut(_small_star(_large_star(now)))
+        few = state[0] <= ONE_TASK
+        if few:
+            now = now.coalesce(1)
+        now = cut(_small_star(_large_star(now, few), few))
         before, state = state, _state(now)
         if state == before:
             break
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
+    return now.select(_ends("hi", "lo", "lo", "lo", "node", "component")).distinct()
