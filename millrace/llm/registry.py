@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import langid, mixing, packing, simhash, urlfilter
+from millrace.llm import langid, mixing, packing, simhash, tput, urlfilter
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(load(spark, sf_dir, "pages"))
 
 
+def op9_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput.search(load(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": op3_mixing,
         "op5_packing": op5_packing,
         "op6_urlfilter": op6_urlfilter,
+        "op9_tput": op9_tput,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
     }
