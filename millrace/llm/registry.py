@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import langid, mixing, packing, simhash, tput, urlfilter
+from millrace.llm import ann, langid, mixing, packing, simhash, tput, urlfilter
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(load(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ann": op1_ann,
         "op2_langid": op2_langid,
         "op3_mixing": op3_mixing,
         "op5_packing": op5_packing,
