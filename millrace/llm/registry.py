@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import ann, langid, mixing, packing, simhash, tput, urlfilter
+from millrace.llm import ann, chat, langid, mixing, packing, simhash, tput, urlfilter
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).drop("row")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_all(spark, load(spark, sf_dir, "conversations"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op1_ann": op1_ann,
         "op2_langid": op2_langid,
         "op3_mixing": op3_mixing,
+        "op4_chat": op4_chat,
         "op5_packing": op5_packing,
         "op6_urlfilter": op6_urlfilter,
         "op9_tput": op9_tput,
@@ -56,5 +61,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_chat": chat.SQL,
         "op6_urlfilter": urlfilter.SQL,
     }
