@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import ann, chat, langid, linededup, mixing, packing, simhash, tput, urlfilter
+from millrace.llm import ann, chat, langid, licenses, linededup, mixing, packing, simhash, tput, urlfilter
 from millrace.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(load(spark, sf_dir, "pages"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_groups(load(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op4_chat": op4_chat,
         "op5_packing": op5_packing,
         "op6_urlfilter": op6_urlfilter,
+        "op7_licenses": op7_licenses,
         "op8_linededup": op8_linededup,
         "op9_tput": op9_tput,
         "op10_simhash": op10_simhash,
