@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS = 500
 SAMPLE_WORDS = 20_000
@@ -284,8 +285,14 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
                 )
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, (kinds + ", " if kinds else "") + "lang_pred string, score double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:-1], *added]))
+
+
+def recognised(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has letters and a language with a score of ``least`` or more."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return predict(spark, rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -138,3 +138,22 @@ def mix(docs: DataFrame, seed: int = SEED, shard_rows: int = SHARD_ROWS, row: Co
 def first_words(text: Column, n: Column) -> Column:
     """The text up to its n-th word, white space kept."""
     return F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*)"), F.lit(1)), F.lit(1), n.cast("int")), ""))
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows that the mix takes, with the columns of ``docs`` (doc_id unique): a row for each pass.
+
+    A document is repeated for each whole pass; a part is its first words. n_chars, where
+    there is such a column, is that of the row's text.
+    """
+    rows = docs.columns
+    taken = mix(docs, **parameters).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size"), "taken")
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in rows]).alias("row"), F.col("doc_id").alias("own_id")).join(taken, F.col("own_id") == F.col("taken_id"))
+    passes = joined.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("taken") - 1, F.col("taken_size")))))
+    left = F.col("taken") - F.col("i") * F.col("taken_size")
+    text = F.when(left >= F.col("taken_size"), F.col("row.text")).otherwise(first_words(F.col("row.text"), left))
+    out = passes.select(text.alias("text"), "row")
+    own = {"text": F.col("text")}
+    if "n_chars" in rows:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[own[c] if c in own else F.col(f"row.`{c}`") for c in rows])

@@ -16,7 +16,9 @@ is therefore split into powers of two where that costs less than its padding.
 
 from __future__ import annotations
 
+import gc
 import os
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -32,8 +34,10 @@ SENTENCE = 8
 INSIDE = 64
 CHUNK = 64 * WINDOW
 END = 2
+#: Marks that are split off a chunk; each is neither letter, digit nor white space, and begins no contraction.
+MARKS = ".,;:!?"
 #: Chunks between white space whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -51,24 +55,75 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.known: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size() + 1
+        self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             bare = token.removesuffix("</w>")
             self.ends[i] = token.endswith("</w>") and any(c in ".!?" for c in bare) and not any(c.isalnum() for c in bare)
 
+    def _words(self, words: list[str]) -> None:
+        """Words of Latin-1 letters are one pre-token each, in the normal form once lower-cased: straight to the model."""
+        tokenize, known = self.tokenizer.model.tokenize, self.known
+        for word in words:
+            low = word.lower()
+            ids = [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))]
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _any(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 1024):
+            part = chunks[at : at + 1024]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """A run of marks after a letter or digit is a pre-token of its own."""
+        split = [(c, b, c[len(b) :]) for c in new if (b := c.rstrip(MARKS)) != c and b and b[-1].isalnum()]
+        parts = ({b for _, b, _ in split} | {m for _, _, m in split} | new.difference(c for c, _, _ in split)) - self.known.keys()
+        words = [w for w in parts if w.isalpha() and _latin(w)]
+        self._words(words)
+        self._any(list(parts.difference(words)))
+        known = self.known
+        known.update((c, known[b] + known[m]) for c, b, m in split)
+
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        if new:
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(e.ids, "<u4").tobytes()
+            self.known = {"": b""}
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        missing = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        if new := {chunks[i] for chunks, at in zip(split, missing, strict=True) for i in at}:
+            self._learn(new)
+            for chunks, ids, at in zip(split, found, missing, strict=True):
+                for i in at:
+                    ids[i] = self.known[chunks[i]]
         end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(self.known.__getitem__, chunks), end]), "<u4") for chunks in split]
+        return [np.frombuffer(b"".join(ids) + end, "<u4") for ids in found]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_chars() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
+BYTE_CHARS = _byte_chars()
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One to a worker process, so that its memory serves the tasks that follow."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
 
 
 def candidates(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +235,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
+        gc.disable()  # nothing here makes cycles, and the words remembered are many
         packer = Packer(words.ends, window)
         base = TaskContext.get().partitionId() << 40
         known: dict[int, tuple[int | None, int]] = {}
@@ -216,6 +272,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                         del known[n]
         if pieces := list(packer.finish()):
             yield batch_of(pieces)
+        gc.enable()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
@@ -205,3 +205,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, whose doc_id is the smallest of its component.
+
+    Rows without doc_id go; of rows that share one, that of the least text stays.
+    """
+    near = cut(near_duplicates(docs))
+    kept = near.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.filter("rows > 1").isEmpty():
+        return out
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    rows = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("place"))
+    return rows.filter("place = 1").select("row.*")
