@@ -39,7 +39,7 @@ TARGET = 0.95
 #: Vectors of one leaf that share a partition.
 LEAF_ROWS = 20_000
 #: A first look at one in so many of the leaves to be visited.
-FIRST = 8
+FIRST = 16
 
 
 @dataclass
@@ -168,6 +168,15 @@ def _nearest(index: DataFrame, block, visits, bounds, width: int, k: int) -> Dat
     return index.mapInArrow(run, "qcid bigint, cid bigint, score double, leaf bigint")
 
 
+def _bounds(near: DataFrame, own: Queries, k: int) -> np.ndarray:
+    """The k-th best score found so far, by place in the block; a number for each query of it."""
+    kth = near.groupBy("qcid").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("kth")).filter("size(kth) = 1")
+    place, low = {int(c): j for j, c in enumerate(own.cid)}, np.full(len(own.cid), -np.inf)
+    for qcid, bound in kth.collect():
+        low[place[qcid]] = bound[0]
+    return low
+
+
 def _block(spark, rows: DataFrame, width: int) -> Queries:
     """A bounded set of query classes, on the driver."""
     table = rows.select("cid", "vec").toArrow()
@@ -181,12 +190,16 @@ def calibrate(index: DataFrame, tree: Tree, width: int, k: int, probes: int = PR
     own = _block(spark, index.orderBy(F.xxhash64(F.lit("probe"), "cid"), "cid").limit(probes), width)
     if not len(own.cid):
         return 1
-    truth = _nearest(index, spark.sparkContext.broadcast(own), None, None, width, k).select("qcid", "leaf", "score", "cid")
+    promise, said = tree.promises(own.vec), spark.sparkContext.broadcast(own)
+    bins = [tree.best_bins(p, tree.leaves) for p in promise]
+    first = spark.sparkContext.broadcast(_visitors(bins, 0, max(1, tree.leaves // 32)))
+    low = spark.sparkContext.broadcast(_bounds(_nearest(index, said, first, None, width, k), own, k))
+    truth = _nearest(index, said, None, low, width, k)
     top = truth.groupBy("qcid").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("score"), "cid", "leaf"))), 1, k).leaf.alias("leaves")).collect()
     place = {int(c): i for i, c in enumerate(own.cid)}
-    promise, found = tree.promises(own.vec), np.zeros(tree.leaves)
+    found = np.zeros(tree.leaves)
     for qcid, leaves in top:
-        rank = {leaf: i for i, leaf in enumerate(tree.best_bins(promise[place[qcid]], tree.leaves))}
+        rank = {leaf: i for i, leaf in enumerate(bins[place[qcid]])}
         for leaf in leaves:
             found[rank[leaf]] += 1 / len(leaves)
     if not top:
@@ -233,12 +246,8 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, ta
         first = max(1, looks // FIRST)
         said = spark.sparkContext.broadcast(own)
         near = cut(_nearest(index, said, spark.sparkContext.broadcast(_visitors(bins, 0, first)), None, width, k))
-        kth = near.groupBy("qcid").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("kth")).filter("size(kth) = 1")
-        place = {int(c): j for j, c in enumerate(own.cid)}
-        low = np.full(len(own.cid), -np.inf)
-        for qcid, bound in kth.collect():  # a number for each query of the block
-            low[place[qcid]] = bound[0]
-        wide = _nearest(index, said, spark.sparkContext.broadcast(_visitors(bins, first, looks)), spark.sparkContext.broadcast(low), width, k)
+        low = spark.sparkContext.broadcast(_bounds(near, own, k))
+        wide = _nearest(index, said, spark.sparkContext.broadcast(_visitors(bins, first, looks)), low, width, k)
         itself = mine.select(F.col("cid").alias("qcid"), "cid", "vec")
         found += [near.drop("leaf"), wide.drop("leaf"), _itself(itself, width)]
     every = reduce(DataFrame.unionByName, found)
