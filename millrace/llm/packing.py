@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 SENTENCE = 8
 INSIDE = 64
+#: Of the sentence ends within so many tokens only the last is a candidate.
+GRAIN = 32
 CHUNK = 64 * WINDOW
 END = 2
 #: Marks that are split off a chunk; each is neither letter, digit nor white space, and begins no contraction.
@@ -77,9 +79,10 @@ class WordIds:
                 self.known[chunk] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """A run of marks after a letter or digit is a pre-token of its own."""
-        split = [(c, b, c[len(b) :]) for c in new if (b := c.rstrip(MARKS)) != c and b and b[-1].isalnum()]
-        parts = ({b for _, b, _ in split} | {m for _, _, m in split} | new.difference(c for c, _, _ in split)) - self.known.keys()
+        """A run of marks after a letter or digit of Latin-1 (which stays one) is a pre-token of its own."""
+        split = [(c, b, c[len(b) :]) for c in new if (b := c.rstrip(MARKS)) != c and b and b[-1] <= "ÿ" and b[-1].isalnum()]
+        parts = {b for _, b, _ in split} | {m for _, _, m in split} | new.difference(c for c, _, _ in split)
+        parts = {p for p in parts if p not in self.known}  # a set minus the keys would walk all keys
         words = [w for w in parts if w.isalpha() and _latin(w)]
         self._words(words)
         self._any(list(parts.difference(words)))
@@ -132,6 +135,7 @@ def candidates(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np
     total = int(sizes.sum())
     flat = np.concatenate(ids)
     inner = np.flatnonzero(ends[flat]) + 1
+    inner = inner[np.r_[inner[1:] // GRAIN != inner[:-1] // GRAIN, True]] if len(inner) else inner
     last = np.cumsum(sizes)
     at = np.union1d(inner, last)
     cost = np.where(np.isin(at, last, assume_unique=False), 0, SENTENCE)
