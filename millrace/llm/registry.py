@@ -73,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat": chat.SQL,
         "op6_urlfilter": urlfilter.SQL,
+        "op9_tput": tput.SQL,
     }

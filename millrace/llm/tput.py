@@ -145,3 +145,18 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, sl
         found.append(known.unionByName(rest).unionByName(itself))
     every = reduce(DataFrame.unionByName, found).distinct()
     return vectors.answers(every, classes, queries, k).select("query_id", "rank", "vec_id", F.col("score").cast("bigint").alias("score"))
+
+
+#: DuckDB: every query against every row.
+SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
