@@ -1,0 +1,87 @@
+import datetime
+
+import pytest
+from pyspark.sql import types as T
+
+from millrace import cli
+from millrace.plans import clickstream
+from millrace.plans.hits import hits
+from millrace.schema import format_schema, load_schema, parse_schema, save_schema
+from millrace.sources import colm, csv_to_parquet, read_csv, write_csv
+from millrace.streaming import ingest_csv
+
+SCHEMA = "id,int64\nn,int16\r\n\nname,string ,\nday,DATE\nat,TIMESTAMP\n"
+CSV = '1,2,"a,b",2024-01-02,2024-01-02 03:04:05\r\n2,,"say ""hi""",,\n3,4,"two\nlines",2024-01-03,2024-01-03 00:00:00,extra\n4\n'
+DAY, ZERO = datetime.date(2024, 1, 2), datetime.datetime(1970, 1, 1)
+ROWS = [
+    (1, 2, "a,b", DAY, datetime.datetime(2024, 1, 2, 3, 4, 5)), (2, 0, 'say "hi"', ZERO.date(), ZERO),
+    (3, 4, "two\nlines", datetime.date(2024, 1, 3), datetime.datetime(2024, 1, 3)), (4, 0, "", ZERO.date(), ZERO),
+]
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_schema_text(tmp_path):
+    schema = parse_schema(SCHEMA)
+    assert [f.dataType.simpleString() for f in schema] == ["bigint", "smallint", "string", "date", "timestamp_ntz"]
+    assert parse_schema(format_schema(schema)) == schema
+    save_schema(schema, f"{tmp_path}/s")
+    assert load_schema(f"{tmp_path}/s") == schema
+    for bad in ("id", "id,int8", ",int16"):
+        with pytest.raises(ValueError, match="schema line 1"):
+            parse_schema(bad)
+    with pytest.raises(ValueError, match="has no name"):
+        format_schema(T.StructType([T.StructField("x", T.DoubleType())]))
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "in.csv").write_text(CSV, newline="")
+    schema = parse_schema(SCHEMA)
+    assert rows(read_csv(spark, f"{tmp_path}/in.csv", schema)) == ROWS
+    csv_to_parquet(spark, f"{tmp_path}/in.csv", schema, f"{tmp_path}/out")
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(stored) == ROWS and [f.dataType for f in stored.schema] == [f.dataType for f in schema]
+    write_csv(stored, f"{tmp_path}/csv", single_file=True)
+    again = spark.read.schema(schema).csv(f"{tmp_path}/csv", header=True, multiLine=True, escape='"').na.fill("")
+    assert rows(again) == ROWS
+    (tmp_path / "bad.csv").write_text("x,1,a,2024-01-02,2024-01-02 00:00:00\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_csv(spark, f"{tmp_path}/bad.csv", schema).collect()
+
+
+def test_streamed_csv(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("1,2,x,2024-01-02,2024-01-02 00:00:00\n")
+    for name in ("a", "b"):
+        (tmp_path / f"in/{name}.csv").write_text(f"1,2,{name},2024-01-02,2024-01-02 00:00:00\n")
+        ingest_csv(spark, f"{tmp_path}/in", parse_schema(SCHEMA), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert [r[2] for r in rows(spark.read.parquet(f"{tmp_path}/out"))] == ["a", "b"]
+
+
+def test_colm_round_trip(spark, tmp_path, monkeypatch):
+    colm.register(spark)
+    table = hits(spark, "/root/testdata/sf0.001")
+    target = f"{tmp_path}/t"
+    table.coalesce(1).write.format("colm").mode("append").save(target)
+    back = spark.read.format("colm").load(target)
+    assert back.dtypes == table.dtypes and rows(back) == rows(table)
+    some = spark.read.format("colm").option("columns", "Title,UserID").load(target)
+    assert some.columns == ["Title", "UserID"] and rows(some) == rows(table.select("Title", "UserID"))
+    assert rows(clickstream.run("q13", back, clickstream.SCALED)) == rows(clickstream.run("q13", table, clickstream.SCALED))
+    spark.range(100_000).write.format("colm").mode("append").save(f"{tmp_path}/n")
+    assert spark.read.format("colm").load(f"{tmp_path}/n").distinct().count() == 100_000
+    (tmp_path / "x.colm").write_bytes(b"no such format at all, but long enough")
+    with pytest.raises(ValueError, match="not a COLM file"):
+        colm.read_footer(f"{tmp_path}/x.colm")
+
+
+def test_cli(spark, tmp_path):
+    hits(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/hits")
+    assert cli.main(["run", "--input", f"{tmp_path}/hits", "--output_dir", f"{tmp_path}/out", "--queries", "1,8-9"]) == 0
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["q01.csv", "q08.csv", "q09.csv"]
+    (tmp_path / "s").write_text(SCHEMA)
+    (tmp_path / "in.csv").write_text(CSV, newline="")
+    assert cli.main(["convert", "--input", f"{tmp_path}/in.csv", "--schema", f"{tmp_path}/s", "--output", f"{tmp_path}/pq"]) == 0
+    assert rows(spark.read.parquet(f"{tmp_path}/pq")) == ROWS
