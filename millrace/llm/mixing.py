@@ -52,7 +52,7 @@ def weights(sources: DataFrame, cycle: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def targets(sources: DataFrame, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """Adds ``target`` to (source_size, weight). Each round fixes the sources above their cap and shares anew."""
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    share, fixed = 0.0, 0
+    share, fixed = 0.0, None
     limit = F.col("source_size") * F.lit(float(cap))
     while True:
         over = F.col("weight") * F.lit(share) > limit
@@ -60,7 +60,7 @@ def targets(sources: DataFrame, budget: float = BUDGET, cap: float = CAP) -> Dat
             F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight"))), F.count(F.when(over, 1))
         ).first()
         left = budget * total - cap * (capped or 0)
-        if not open_weight or (share and n == fixed):
+        if not open_weight or n == fixed:  # no further source reached its cap
             break
         share, fixed = left / open_weight, n
     return sources.withColumn("target", F.when(F.col("weight") * F.lit(share) > limit, limit).otherwise(F.col("weight") * F.lit(share)))
