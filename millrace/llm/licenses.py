@@ -156,4 +156,4 @@ def scan_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, path, license, score, inherited_from) for each document."""
     files = paths(documents)
     found = scan(files).drop_duplicates(["path"])
-    return files.select("doc_id", "path").join(found, "path")
+    return files.select("doc_id", "path").join(found, "path").select("doc_id", "path", "license", "score", "inherited_from")

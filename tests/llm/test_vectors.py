@@ -64,7 +64,7 @@ def test_exact_search_small_tables(spark):
     assert sorted(rows_of(tput.search(table(spark, rows)))) == [(0, 1, 50, 327680), (0, 2, 51, -65536), (50, 1, 0, 327680), (50, 2, 51, -65536)]
     assert rows_of(tput.search(table(spark, rows[:1]))) == []
     assert rows_of(tput.search(table(spark, rows).limit(0))) == []
-    large = [(0, [1e9, 1.0]), (1, [1e7, 2.0]), (2, [3.0, 4.0])]
+    large = [(0, [1e8, 1.0]), (1, [1e6, 2.0]), (2, [3.0, 4.0])]
     assert sorted(rows_of(tput.search(table(spark, large))))[0][2] == 1
 
 
