@@ -34,7 +34,7 @@ MAX_RUN = 48
 UNKNOWN = 1e-7
 SMOOTH = 0.1
 #: Chunks between white space whose score a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words whose lattices are in memory at a time.
 BLOCK = 4096
 MARK = "▁"
@@ -264,11 +264,12 @@ def train(labelled: DataFrame, vocabulary: str | None = None, sample_docs: int =
     return fit({k: v for k, v in counts.items() if v}, pieces(vocabulary or default_vocabulary()))
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", row: str | None = None) -> DataFrame:
     """All columns of ``docs`` but its text, with lang_pred and score; only the text is looked at.
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter; otherwise the
-    likeliest language (ties: the first by code point) and its share of the likelihood.
+    likeliest language (ties: the first by code point) and its share of the likelihood. With
+    ``row`` the text is that field of this struct column, which is kept.
     """
     shared = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != text]
@@ -278,21 +279,22 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
         for b in batches:
             for at in range(0, max(b.num_rows, 1), 256):
                 part = b.slice(at, 256)
-                said = scorer.texts(part.column(part.num_columns - 1).to_pylist())
+                own = part.column(row).field(text) if row else part.column(part.num_columns - 1)
+                said = scorer.texts(own.to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())],
+                    [*part.columns[: len(keep)], pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())],
                     names=[*keep, "lang_pred", "score"],
                 )
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text))
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if row else [F.col(f"`{text}`").cast("string").alias(text)]))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:-1], *added]))
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[: len(keep)], *added]))
 
 
 def recognised(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, as they are, whose text has letters and a language with a score of ``least`` or more."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return predict(spark, rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return predict(spark, rows, model, row="row").filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def held_out(doc_id: str = "doc_id"):
