@@ -39,7 +39,7 @@ END = 2
 #: Marks that are split off a chunk; each is neither letter, digit nor white space, and begins no contraction.
 MARKS = ".,;:!?"
 #: Chunks between white space whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
