@@ -2,11 +2,10 @@
 
 1. Lines of equal text are one class from the start: 128 bits of hashes stand for the text
    where equal lines are found, 64 where similar ones are.
-2. A line's shingles are the runs of SHINGLE characters that begin its words (at the line's
-   end they are shorter): shingles chosen by content, so that two lines choose alike, and a
-   sixth of all. In a line with hardly a space they begin after each character that is no
-   Latin letter. A shingle is hashed once; exclusive-or with SIDE * SIDE constants gives as
-   many permutations, whose minima, taken before any shuffle, are the signature.
+2. A line's shingles are its runs of SHINGLE characters (a shorter line is one shingle). A
+   shingle is hashed once; exclusive-or with SIDE * SIDE constants gives as many permutations,
+   whose minima, taken before any shuffle, are the signature. Shingles are taken from pieces
+   of the line, so that reaching into a long line costs nothing.
 3. The minima stand in a square; its rows and columns are the bands. Lines
    that agree in a band meet. The first of a bucket leads it, and every other line is
    compared with the leader.
@@ -34,6 +33,8 @@ from millrace.llm.components import connected_components
 SHINGLE = 8
 SIMILARITY = 0.8
 SIDE = 4
+#: Shingles that begin in one piece of a line.
+PIECE = 32
 #: Lines of a bucket that the lines dissimilar to its leader are compared with too, the leader counted.
 HEADS = 6
 
@@ -48,38 +49,25 @@ def blank(line: Column) -> Column:
     return ~line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def words(line: Column, shingle: int) -> Column:
-    """What the chosen shingles begin with: the line's words.
-
-    A line with hardly a space (a script without them, a long token) gives the shingles after
-    each character that is no Latin letter instead.
-    """
-    apart = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s)[^A-Za-zÀ-ÿ](?=(.{{{shingle}}}))"), F.lit(1))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" ")))
-    few = (F.length(line) > 32 * (1 + spaces)) & line.rlike(rf"(?s)[^A-Za-zÀ-ÿ].{{{shingle}}}")
-    return F.when(few, apart).otherwise(F.split(line, " "))
-
-
-def runs_of(w: Column) -> Column:
-    """(w0, w1, w2): each word with the two that follow, null at the line's end."""
-    return F.arrays_zip(w.alias("w0"), F.slice(w, 2, 1 << 30).alias("w1"), F.slice(w, 3, 1 << 30).alias("w2"))
-
-
-def beginning(w0: Column, w1: Column, w2: Column, shingle: int) -> Column:
-    return F.substring(F.concat_ws(" ", w0, w1, w2), 1, shingle)
+def pieces(line: Column, shingle: int) -> Column:
+    """The line in pieces of PIECE characters, each with the ``shingle - 1`` that follow."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{PIECE + shingle - 1}}})).{{1,{PIECE}}}"), F.lit(1))
 
 
-def shingles(w: Column, shingle: int) -> Column:
-    """The set of a line's shingles, from its words."""
-    return F.array_distinct(F.transform(runs_of(w), lambda x: beginning(x["w0"], x["w1"], x["w2"], shingle)))
+def shingles(line: Column, shingle: int) -> Column:
+    """The set of a line's shingles."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{shingle}}}))."), F.lit(1))
+    return F.when(F.length(line) < shingle, F.array(line)).otherwise(F.array_distinct(every))
 
 
 def signatures(every: DataFrame, shingle: int) -> DataFrame:
     """(id, doc_id, h0, h1, ...): a row for each distinct line, with the smallest doc_id that has it. Only numbers are aggregated."""
     # the id before the shingles, or it would be hashed once a shingle
-    told = every.select(F.xxhash64("line").alias("id"), "doc_id", words(F.col("line"), shingle).alias("w"))
-    runs = told.select("id", "doc_id", F.inline(runs_of(F.col("w"))).alias("w0", "w1", "w2"))
-    hashed = runs.select("id", "doc_id", F.hash(beginning(F.col("w0"), F.col("w1"), F.col("w2"), shingle)).alias("h"))
+    told = every.select(F.xxhash64("line").alias("id"), "doc_id", F.posexplode(pieces(F.col("line"), shingle)).alias("i", "piece"))
+    # every piece but the last is full; one of under ``shingle`` characters only counts if it is the whole line
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(PIECE), F.length("piece") - (shingle - 1))))).alias("at")
+    runs = told.filter((F.col("i") == 0) | (F.length("piece") >= shingle)).select("id", "doc_id", "piece", at)
+    hashed = runs.select("id", "doc_id", F.hash(F.substring("piece", F.col("at"), F.lit(shingle))).alias("h"))
     return hashed.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.min(F.col("h").bitwiseXOR(F.lit(mask(i)))).alias(f"h{i}") for i in range(SIDE * SIDE)])
 
 
@@ -102,9 +90,8 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     met = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    # inline() keeps words and sets from being made again for each use
-    split = met.select("a", "b", F.inline(F.array(F.struct(words(F.col("line_a"), shingle).alias("wa"), words(F.col("line_b"), shingle).alias("wb")))))
-    sets = split.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("wa"), shingle).alias("sa"), shingles(F.col("wb"), shingle).alias("sb")))))
+    # inline() keeps the sets from being made again for each use
+    sets = met.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("line_a"), shingle).alias("sa"), shingles(F.col("line_b"), shingle).alias("sb")))))
     both = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return both.select("a", "b", (F.col("both") >= threshold * (F.col("n") - F.col("both"))).alias("ok"))
 
