@@ -10,11 +10,9 @@
    that agree in a band meet. The first of a bucket leads it, and every other line is
    compared with the leader.
 4. Pairs are verified by the exact Jaccard similarity of their sets of shingles.
-5. The lines that were not similar to their leader are compared with the next lines of the
-   bucket too, HEADS - 1 of them, so a bucket of up to HEADS lines is compared in full. The
-   pairs of a larger one are never all formed, as their number is the square of its lines:
-   there two similar lines are tied by what they share with its first lines, or by their
-   other buckets.
+5. Of each bucket that then holds lines of several components, all pairs across components
+   are compared, but those judged before. A line's place in the bucket gives its chunk of
+   CHUNK lines, and a pair of chunks is the join key, so no task has all pairs of a bucket.
 6. The verified pairs' connected components are found, and of each component the first line
    (smallest doc_id, then place) stays.
 
@@ -35,8 +33,8 @@ SIMILARITY = 0.8
 SIDE = 4
 #: Shingles that begin in one piece of a line.
 PIECE = 32
-#: Lines of a bucket that the lines dissimilar to its leader are compared with too, the leader counted.
-HEADS = 6
+#: Lines of a bucket whose pairs with as many others are formed under one key.
+CHUNK = 1024
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -120,17 +118,27 @@ def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = S
     judged = cut(similar(pairs, texts, shingle, threshold))
     links = judged.filter("ok").select("a", "b")
 
-    # the dissimilar ones again, with the lines next to the leader that are not in their component yet
-    left = pairs.join(judged.filter("not ok").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("id"))
-    heads = pairs.filter(F.col("place") <= HEADS).select("key", F.col("b").alias("head"))
-    again = left.join(heads, "key").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     tied = connected_components(links)
-    again = again.join(tied.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(tied.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    again = again.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    more = similar(again, texts, shingle, threshold).filter("ok").select("a", "b")
+    more = similar(across(pairs, tied).join(judged, ["a", "b"], "left_anti"), texts, shingle, threshold).filter("ok").select("a", "b")
     return tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
 
+def across(pairs: DataFrame, tied: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's lines, leaders apart, that are in different components.
+
+    pairs: (key, a, b, place), as of led(). Leaders have met all of their bucket already.
+    """
+    named = pairs.join(tied.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(tied.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    named = cut(named.select("key", F.coalesce("ca", "a").alias("ca"), F.col("b").alias("id"), F.coalesce("cb", "b").alias("c"), "place"))
+    mixed = named.groupBy("key").agg(F.max("place").alias("n"), F.max((F.col("c") != F.col("ca")).cast("int")).alias("mixed")).filter("mixed = 1 and n > 2").select("key", "n")
+    own = F.floor(F.col("place") / F.lit(CHUNK)).cast("int")
+    last = F.floor(F.col("n") / F.lit(CHUNK)).cast("int")
+    rows = named.join(mixed, "key").select("key", "id", "c", "place", own.alias("own"), last.alias("last"))
+    low = rows.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("place").alias("pa"))
+    high = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("place").alias("pb"))
+    return low.join(high, ["key", "i", "j"]).filter("pa < pb and ca <> cb").select("a", "b").distinct()
+
+
 def line_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, place, kept, first_doc_id, first_place) for each line of ``docs`` (doc_id, text, more).
 

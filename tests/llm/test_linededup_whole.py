@@ -59,3 +59,15 @@ def test_families_by_all_shingles(spark):
         together[got[i]].add(want[i])
     assert all(len(x) == 1 for x in together.values())
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_every_pair_of_a_crowded_bucket_meets(spark, monkeypatch):
+    """Twenty similar pairs in one bucket of several chunks, most of them unlike its first lines."""
+    monkeypatch.setattr(linededup, "bands", lambda: [[]])  # one bucket of all lines
+    monkeypatch.setattr(linededup, "CHUNK", 4, raising=False)
+    rng = random.Random(2)
+    texts = [" ".join(words(rng, "en", 30)) for _ in range(20)]
+    texts += [edited(rng, t, 1) for t in texts]
+    want = plain_groups(texts)
+    assert sum(want[i] != i for i in want) >= 15
+    assert groups(spark, texts) == want
