@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Built-in functions only. The units compared are the lines of a file that hold an anchor word
-(every template line does) and, for a license file, its whole text. A term's document
+Built-in functions only. The units compared are the runs of up to WINDOW adjacent lines of a
+file with an anchor in them (joined; a term split drops comment marks), so that a wrapped
+header is met whole, and, for a license file, its whole text. A run without an anchor is not compared. A term's document
 frequency is counted over all files; only the templates' terms are counted, the others
 weigh as terms of no file. Dot products come from joining a unit's terms with the templates'
 (a fixed, small table), so terms that no template has cost nothing but their part of the norm.
@@ -44,7 +45,9 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-ANCHORS = r"(?i)licen[cs]|permission is hereby|redistribut|public domain|free software"
+ANCHORS = r"(?i)licen[cs]|permission is hereby|redistribut|public domain|free software|\bCC[ -]?(BY|0)\b|creative commons|mozilla public|\bGNU\b|\bSPDX\b"
+#: Lines of a run at most.
+WINDOW = 8
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
 
@@ -85,9 +88,18 @@ def idf(files: DataFrame) -> DataFrame:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(path, unit, text): the lines with an anchor, numbered, and license files as a whole (-1)."""
-    line = files.filter(F.col("text").rlike(ANCHORS)).select("path", F.posexplode(F.split("text", "\n")).alias("unit", "text")).filter(F.col("text").rlike(ANCHORS))
-    whole = files.filter(F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(LICENSE_FILE) & F.col("text").isNotNull()).select("path", F.lit(-1).alias("unit"), "text")
+    """(path, unit, text): the runs of lines with an anchor, numbered, and license files as a whole (-1)."""
+    # inline() keeps the lines from being split again for each use
+    split = files.filter(F.col("text").rlike(ANCHORS)).select("path", F.inline(F.array(F.struct(F.split("text", "\n").alias("lines")))))
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(ANCHORS), i)), lambda i: i.isNotNull())
+    near = split.select("path", "lines", F.inline(F.array(F.struct(at.alias("at")))))
+    around = F.transform("at", lambda i: F.struct(i.alias("i"), F.least(i, F.lit(WINDOW - 1)).alias("own"), F.slice("lines", F.greatest(i - (WINDOW - 2), F.lit(1)), F.lit(2 * WINDOW - 1)).alias("near")))
+    anchored = near.select("path", F.inline(around))
+    runs = [(back, size) for back in range(WINDOW) for size in range(back + 1, WINDOW + 1)]
+    run = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(back).alias("back"), F.lit(size).alias("size")) for n, (back, size) in enumerate(runs)])).alias("run")
+    told = anchored.select("path", "i", "own", "near", run).filter("run.back <= own and own - run.back + run.size <= size(near)")
+    line = told.select("path", (F.col("i").cast("bigint") * len(runs) + F.col("run.n")).alias("unit"), F.array_join(F.slice("near", F.col("own") - F.col("run.back") + 1, F.col("run.size")), " ").alias("text"))
+    whole = files.filter(F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(LICENSE_FILE) & F.col("text").isNotNull()).select("path", F.lit(-1).cast("bigint").alias("unit"), "text")
     return line.unionByName(whole)
 
 
