@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,16 +10,23 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a bitmap for each key, and in all: 2**26 bits are 8 MB.
+BITS_A_KEY = 32
+MAX_BITS = 1 << 26
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Where that is unset: beside the tables of the warehouse, which a cluster shares too; a
+    temporary folder only where driver and executors are one process.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[[^,]*(, *\d+)?\])?", sc.master):
+            folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -28,6 +36,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of the checkpoints that these frames read. Nothing may read them any more."""
+    for df in frames:
+        spark, leaves = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if leaf.nodeName() == "LogicalRDD" and (file := leaf.rdd().getCheckpointFile()).isDefined():
+                path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def maybe_in(key: Column, keys: DataFrame, name: str) -> Column:
+    """False for most BIGINT keys that are not in ``keys`` (column ``name``), true for all that are.
+
+    A bitmap of a size that is fixed by the number of keys, up to MAX_BITS; beyond that it
+    lets more through. It is a filter in front of a join, which decides.
+    """
+    most = min(MAX_BITS, BITS_A_KEY * max(1, keys.count()))
+    words = 1 << max(0, (most // 64 - 1).bit_length())
+    own = F.col(name).cast("bigint")
+    told = keys.filter(own.isNotNull()).select(_word(F.xxhash64(own), words).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.xxhash64(own))).alias("bits"))
+    every = told.unionByName(keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("bits")))
+    table = every.groupBy("w").agg(F.bit_or("bits").alias("bits")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("table"))
+    hashed = F.xxhash64(key.cast("bigint"))
+    return F.getbit(F.get(table.scalar(), _word(hashed, words).cast("int")), _bit(hashed)) == 1
+
+
+def _word(hashed: Column, words: int) -> Column:
+    return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(words - 1).cast("bigint"))
+
+
+def _bit(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -2,7 +2,8 @@
 
 DataFrame operations only. A hub is pre-aggregated before its shuffle (its minimum) and
 met again in a join, whose large partitions Spark can split, so one node may have most of
-the edges. Every round is checkpointed; the number of rounds grows with the logarithm of
+the edges. Every round is checkpointed, and the
+round before it deleted; the number of rounds grows with the logarithm of
 the longest chain. Once ONE_TASK edges or fewer are left (they are counted each round), a
 round runs over a single partition, broadcasts at most as many rows and shuffles nothing.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, release
 
 ONE_TASK = 100_000
 
@@ -51,10 +52,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(now)
     while state[0]:
         few = state[0] <= ONE_TASK
-        if few:
-            now = now.coalesce(1)
-        now = cut(_small_star(_large_star(now, few), few))
-        before, state = state, _state(now)
+        before, past = state, now
+        now = cut(_small_star(_large_star(now.coalesce(1) if few else now, few), few))
+        release(past)
+        state = _state(now)
         if state == before:
             break
     return now.select(_ends("hi", "lo", "lo", "lo", "node", "component")).distinct()

@@ -1,7 +1,8 @@
 import random
-import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from millrace.llm import linededup
 from tests.llm.fixtures import documents, frame, rows_of, words
 
@@ -10,11 +11,7 @@ ASCII_SPACE = " \t\n\v\f\r"
 
 
 def shingles(line, n=linededup.SHINGLE):
-    apart = [line[i : i + n] for i in range(len(line) - n + 1) if not re.match("[A-Za-zÀ-ÿ]", (" " + line)[i])]
-    if len(line) > 32 * (1 + line.count(" ")) and re.search(rf"(?s)[^A-Za-zÀ-ÿ].{{{n}}}", line):
-        return set(apart)
-    w = line.split(" ")
-    return {" ".join(w[i : i + 3])[:n] for i in range(len(w))}
+    return {line[i : i + n] for i in range(max(1, len(line) - n + 1))}
 
 
 def blank(line):
@@ -101,6 +98,21 @@ def test_documents_lose_the_lines(spark):
     assert sorted(rows_of(out)) == [(1, "one line here\nanother one", "en", "s", 25), (2, "new text now", "en", "s", 12), (4, "", "en", "s", 0), (5, None, None, None, None), (6, "x\n", "en", "s", 2)]
 
 
+def test_lines_of_few_words_stay_apart(spark):
+    alike = ["https://example.org/a", "https://python.net/zz", "https://x.y/login", "2024-01-01T00:00:01", "2024-01-31T23:59:59", "internationalization", "internationalism"]
+    alike += ["photosynthesis", "photosynthetic", "Donaudampfschifffahrt", "Donaudampfmaschine", "abcdefgh-1111-2222-333", "abcdefgh-9999-0000-aaa"]
+    got = rows_of(linededup.line_groups(frame(spark, [(i, line, None, None, None) for i, line in enumerate(alike)])))
+    assert all(kept for _, _, kept, _, _ in got) and len(got) == len(alike)
+
+
+def test_lines_that_share_one_hash_stay_apart(spark, monkeypatch):
+    """Buckets carry one hash only; where it collides the texts decide."""
+    monkeypatch.setattr(linededup, "name", lambda line: [F.lit(7).cast("bigint").alias("id"), F.xxhash64(line).alias("more")])
+    texts = ["the first line of a text", "something else altogether", "the first line of a text!", "the first line of a text"]
+    got = rows_of(linededup.line_groups(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])))
+    assert {d: first for d, _, _, first, _ in got} == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
 def test_no_python_in_the_plan(spark):
-    plan = linededup.signatures(linededup.lines(frame(spark, documents(20))), 8)._jdf.queryExecution().toString()
+    plan = linededup.signatures(linededup.lines(frame(spark, documents(20))).select(*linededup.name(F.col("line")), "line"), 8)._jdf.queryExecution().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "Python" not in plan and "Arrow" not in plan
