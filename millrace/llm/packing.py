@@ -1,14 +1,15 @@
 """Order-preserving packing of documents into windows of at most WINDOW tokens.
 
 Documents are tokenised where they are read, without a shuffle, and the cuts of each
-partition's token stream are chosen by dynamic programming. Candidates are document and
+partition's token stream are chosen by dynamic programming. Candidates are all document and
 sentence ends; a stretch of over WINDOW tokens without one also gets a candidate every WINDOW
 tokens. A cut costs nothing at a document's end, SENTENCE within a document, INSIDE within a
 sentence; a window costs its padding. As padding is linear in the window's start, the best
 start is the minimum of a sliding window, kept in a monotone queue: each candidate enters and
-leaves once. The stream is cut CHUNK tokens at a time, and the last windows of a chunk are
-cut again with the next one, so memory does not grow with a partition (a single document is
-held whole).
+leaves once. Whatever follows, the best cuts go through one of the starts in the queue; every
+CHUNK tokens the cuts that all of these share are settled and their windows leave. So the
+cuts are the best of the whole stream, and memory does not grow with a partition (a single document
+is held whole).
 
 A sequence whose length is a power of two is not padded; the last, short window of a partition
 is therefore split into powers of two where that costs less than its padding.
@@ -17,6 +18,7 @@ is therefore split into powers of two where that costs less than its padding.
 from __future__ import annotations
 
 import gc
+import heapq
 import os
 import struct
 import zlib
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 SENTENCE = 8
 INSIDE = 64
-#: Of the sentence ends within so many tokens only the last is a candidate.
-GRAIN = 32
-CHUNK = 64 * WINDOW
+#: Tokens after which settled cuts are looked for.
+CHUNK = 16 * WINDOW
 END = 2
+#: What ends a sentence, where no letter or digit stands beside it in a token.
+STOPS = ".!?。！？؟।…"
 #: Marks that are split off a chunk; each is neither letter, digit nor white space, and begins no contraction.
 MARKS = ".,;:!?"
 #: Chunks between white space whose ids a worker remembers; beyond that it starts anew.
@@ -51,18 +54,18 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of texts. The pre-tokeniser never crosses white space, so chunks are encoded once and remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {"": b""}
         size = self.tokenizer.get_vocab_size() + 1
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            bare = token.removesuffix("</w>")
-            self.ends[i] = token.endswith("</w>") and any(c in ".!?" for c in bare) and not any(c.isalnum() for c in bare)
+            bare = _plain(token.removesuffix("</w>"))
+            self.ends[i] = token.endswith("</w>") and any(c in STOPS for c in bare) and not any(c.isalnum() for c in bare)
 
     def _words(self, words: list[str]) -> None:
         """Words of Latin-1 letters are one pre-token each, in the normal form once lower-cased: straight to the model."""
@@ -119,14 +122,21 @@ def _byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = _byte_chars()
-_WORDS: dict[str, WordIds] = {}
+_BYTES = {chr(c): chr(b) for b, c in BYTE_CHARS.items()}
+_WORDS: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def _plain(token: str) -> str:
+    """The text of a token of byte-level characters; '' where its bytes are no whole characters."""
+    raw = "".join(_BYTES.get(c, c) for c in token)
+    return raw.encode("latin-1").decode("utf-8", "ignore") if _latin(raw) else ""
+
+
+def word_ids(path: str, special: bool = True) -> WordIds:
     """One to a worker process, so that its memory serves the tasks that follow."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    if (path, special) not in _WORDS:
+        _WORDS[path, special] = WordIds(path, special)
+    return _WORDS[path, special]
 
 
 def candidates(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +145,6 @@ def candidates(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np
     total = int(sizes.sum())
     flat = np.concatenate(ids)
     inner = np.flatnonzero(ends[flat]) + 1
-    inner = inner[np.r_[inner[1:] // GRAIN != inner[:-1] // GRAIN, True]] if len(inner) else inner
     last = np.cumsum(sizes)
     at = np.union1d(inner, last)
     cost = np.where(np.isin(at, last, assume_unique=False), 0, SENTENCE)
@@ -150,29 +159,77 @@ def candidates(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np
     return at, cost
 
 
+class Cuts:
+    """The dynamic programme over a stream of candidates; positions count from the last settled cut."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.position, self.key, self.back = [0], [0], [0]  # key: value + position, what a start adds to a window's cost
+        self.queue: deque[int] = deque([0])
+        self.end = 0
+
+    def extend(self, at: np.ndarray, cost: np.ndarray) -> None:
+        """Candidates that follow, from the stream's end on; ascending, with gaps of at most ``window``."""
+        position, key, back, queue, window, end = self.position, self.key, self.back, self.queue, self.window, self.end
+        i = len(position)
+        for p, penalty in zip((at + end).tolist(), cost.tolist(), strict=True):
+            low = p - window
+            while position[queue[0]] < low:
+                queue.popleft()
+            j = queue[0]
+            k = key[j] + window + penalty
+            position.append(p)
+            key.append(k)
+            back.append(j)
+            while queue and key[queue[-1]] >= k:
+                queue.pop()
+            queue.append(i)
+            i += 1
+        self.end = position[-1]
+
+    def _path(self, i: int) -> list[int]:
+        cuts = []
+        while i > 0:
+            cuts.append(self.position[i])
+            i = self.back[i]
+        return cuts[::-1]
+
+    def settled(self) -> list[int]:
+        """The cuts that the best ways to all possible starts share; positions count from the last of them afterwards."""
+        heads = [-i for i in self.queue]
+        heapq.heapify(heads)
+        while True:
+            last = -heads[0]
+            while heads and -heads[0] == last:
+                heapq.heappop(heads)
+            if not heads:
+                break
+            heapq.heappush(heads, -self.back[last])
+        cuts = self._path(last)
+        if cuts:
+            self.position = [p - cuts[-1] for p in self.position[last:]]
+            self.key, self.back = self.key[last:], [max(0, i - last) for i in self.back[last:]]
+            self.queue = deque(i - last for i in self.queue)
+            self.end -= cuts[-1]
+        return cuts
+
+    def finish(self, tail=None) -> list[int]:
+        """All cuts that are left; tail: the cost of a last window by its length, its padding if not given."""
+        last = len(self.position) - 1
+        if not last:
+            return []
+        start = self.back[last]
+        if tail is not None:
+            starts = {start, *(i for i in self.queue if i != last and self.end - self.position[i] <= self.window)}
+            start = min(starts, key=lambda i: (self.key[i] - self.position[i] + tail(self.end - self.position[i]), -i))
+        return [*self._path(start), self.end]
+
+
 def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
     """Ends of the windows that minimise padding plus penalties; at: ascending, gaps of at most ``window``."""
-    position, penalty = [0, *at.tolist()], [0, *cost.tolist()]
-    value, back = [0] * len(position), [0] * len(position)
-    queue: deque[int] = deque([0])
-    key = [0] * len(position)  # value + position: what a start adds to a window's cost
-    for i in range(1, len(position)):
-        p = position[i]
-        low = p - window
-        while position[queue[0]] < low:
-            queue.popleft()
-        j = queue[0]
-        v = key[j] + window - p + penalty[i]
-        value[i], back[i], key[i] = v, j, v + p
-        k = key[i]
-        while queue and key[queue[-1]] >= k:
-            queue.pop()
-        queue.append(i)
-    cuts, i = [], len(position) - 1
-    while i:
-        cuts.append(position[i])
-        i = back[i]
-    return cuts[::-1]
+    cuts = Cuts(window)
+    cuts.extend(at, cost)
+    return cuts.finish()
 
 
 def tail_lengths(n: int, window: int = WINDOW) -> list[int]:
@@ -181,66 +238,69 @@ def tail_lengths(n: int, window: int = WINDOW) -> list[int]:
     return powers if (len(powers) - 1) * INSIDE < window - n else [n]
 
 
+def tail_cost(n: int, window: int = WINDOW) -> int:
+    """Of a last window of n tokens, split or not."""
+    parts = tail_lengths(n, window)
+    return (len(parts) - 1) * INSIDE if parts != [n] else 0 if n & (n - 1) == 0 else window - n
+
+
 class Packer:
-    """Documents in, pieces out: (number of the document, start, length, sequence, offset)."""
+    """Documents in, pieces out: (number of the document, start, ids, sequence, offset)."""
 
-    def __init__(self, ends: np.ndarray, window: int = WINDOW, chunk: int = CHUNK):
-        self.ends, self.window, self.chunk = ends, window, chunk
+    def __init__(self, ends: np.ndarray, window: int = WINDOW, chunk: int = CHUNK, split_tail: bool = True):
+        self.ends, self.window, self.chunk, self.split_tail = ends, window, chunk, split_tail
+        self.cuts = Cuts(window)
         self.sequence = 0
-        self.docs: list[tuple[int, int, np.ndarray]] = []  # number, tokens already emitted, the rest
-        self.waiting = 0
-
-    def add(self, number: int, ids: np.ndarray) -> Iterator[tuple]:
-        self.docs.append((number, 0, ids))
-        self.waiting += len(ids)
-        if self.waiting >= self.chunk:
-            yield from self._emit(last=False)
+        self.docs: deque[tuple[int, int, np.ndarray]] = deque()  # number, tokens already emitted, the rest
+        self.new = 0
+
+    def add(self, first: int, documents: list[np.ndarray]) -> Iterator[tuple]:
+        """Documents numbered from ``first`` on."""
+        self.docs.extend((first + i, 0, ids) for i, ids in enumerate(documents))
+        self.cuts.extend(*candidates(documents, self.ends, self.window))
+        self.new += sum(map(len, documents))
+        if self.new >= self.chunk:
+            self.new = 0
+            yield from self._emit(self.cuts.settled())
 
     def finish(self) -> Iterator[tuple]:
-        if self.docs:
-            yield from self._emit(last=True)
-
-    def _emit(self, last: bool) -> Iterator[tuple]:
-        at, cost = candidates([x for _, _, x in self.docs], self.ends, self.window)
-        cuts = best_cuts(at, cost, self.window)
-        if last:
+        cuts = self.cuts.finish((lambda n: tail_cost(n, self.window)) if self.split_tail else None)
+        if not self.split_tail:
+            yield from self._emit(cuts)
+        elif cuts:
             start = cuts[-2] if len(cuts) > 1 else 0
-            cuts = cuts[:-1] + (start + np.cumsum(tail_lengths(cuts[-1] - start, self.window))).tolist()
-        else:
-            cuts = cuts[:-2]
-        docs, begin, i, used = self.docs, 0, 0, 0
+            yield from self._emit(cuts[:-1] + (start + np.cumsum(tail_lengths(cuts[-1] - start, self.window))).tolist())
+
+    def _emit(self, cuts: list[int]) -> Iterator[tuple]:
+        begin = 0
         for end in cuts:
             offset = 0
             while begin + offset < end:
-                number, before, ids = docs[i]
-                n = min(len(ids) - used, end - begin - offset)
-                yield number, before + used, ids[used : used + n], self.sequence, offset
+                number, before, ids = self.docs[0]
+                n = min(len(ids), end - begin - offset)
+                yield number, before, ids[:n], self.sequence, offset
                 offset += n
-                used += n
-                if used == len(ids):
-                    i, used = i + 1, 0
+                if n == len(ids):
+                    self.docs.popleft()
+                else:
+                    self.docs[0] = (number, before + n, ids[n:])
             begin, self.sequence = end, self.sequence + 1
-        self.docs = docs[i:]
-        if self.docs and used:
-            number, before, ids = self.docs[0]
-            self.docs[0] = (number, before + used, ids[used:])
-        self.waiting -= begin
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False, special: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece of each document.
 
     A document is its text's ids and the id END; a null text counts as empty, so every row
     has at least one piece. start: the document's ids before the piece; offset: the piece's
     place in its sequence. Documents keep the order in which they are read; a sequence holds
     documents of one partition. Rows that repeat a doc_id, or have none, are documents of
-    their own. Other columns are ignored.
+    their own. Other columns are ignored. The names of special tokens in a text are those
+    tokens, as the tokenizer has it; with ``special`` false they are ordinary text.
     """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
-        gc.disable()  # nothing here makes cycles, and the words remembered are many
+        words = word_ids(path, special)
         packer = Packer(words.ends, window)
         base = TaskContext.get().partitionId() << 40
         known: dict[int, tuple[int | None, int]] = {}
@@ -263,20 +323,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part, pieces = b.slice(at, 128), []
-                for doc_id, ids in zip(part.column(0).to_pylist(), words.texts(part.column(1).to_pylist()), strict=True):
-                    known[number] = (doc_id, len(ids))
-                    pieces += packer.add(number, ids)
-                    number += 1
-                if pieces:
-                    yield batch_of(pieces)
-                    for n in [n for n in known if n < packer.docs[0][0]] if packer.docs else list(known):
-                        del known[n]
-        if pieces := list(packer.finish()):
-            yield batch_of(pieces)
-        gc.enable()
+        gc.disable()  # nothing here makes cycles, and the words remembered are many
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 128):
+                    part = b.slice(at, 128)
+                    ids = words.texts(part.column(1).to_pylist())
+                    known.update((number + i, (d, len(x))) for i, (d, x) in enumerate(zip(part.column(0).to_pylist(), ids, strict=True)))
+                    pieces = list(packer.add(number, ids))
+                    number += len(ids)
+                    if pieces:
+                        yield batch_of(pieces)
+                        for n in [n for n in known if n < packer.docs[0][0]] if packer.docs else list(known):
+                            del known[n]
+            if pieces := list(packer.finish()):
+                yield batch_of(pieces)
+        finally:
+            gc.enable()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))

@@ -12,9 +12,7 @@ from tests.llm.fixtures import documents, frame, rows_of
 
 
 def encoder():
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def held(pieces, docs):
@@ -58,7 +56,7 @@ def test_nulls_and_empty(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("aZéßµ'.,!…-1 \n\t日́İΣ", max_size=12), max_size=6))
+@given(st.lists(st.lists(st.one_of(st.text("aZéßµ'.,!…-1 \n\t日́İΣ<|>", max_size=8), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>"])), max_size=5).map("".join), max_size=6))
 def test_remembered_chunks_encode_as_whole_texts(texts):
     t, own = encoder(), packing.word_ids(packing.default_tokenizer())
     assert [x.tolist() for x in own.texts(texts)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
@@ -84,11 +82,55 @@ def test_tail_in_powers_of_two():
     assert sum(packing.tail_lengths(1)) == 1
 
 
+def test_special_tokens_can_be_text(spark):
+    rows = [(1, "one<|endoftext|> two", None, None, 0)]
+    plain, text = encoder(), encoder()
+    text.encode_special_tokens = True
+    for special, t in ((True, plain), (False, text)):
+        got = rows_of(packing.pack(frame(spark, rows), with_ids=True, special=special))
+        assert [i for r in sorted(got) for i in r[-1]] == [*t.encode(rows[0][1], add_special_tokens=False).ids, 2]
+    assert 49407 in plain.encode(rows[0][1], add_special_tokens=False).ids
+
+
+def test_sentence_ends_of_several_scripts():
+    words = packing.word_ids(packing.default_tokenizer())
+    for text in ("end.", "what?", "終わり。", "no!"):
+        assert words.ends[words.texts([text])[0][-2]], text
+    assert not words.ends[words.texts(["3.5"])[0][0]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 30), min_size=1, max_size=4), min_size=1, max_size=25), st.integers(1, 60), st.integers(0, 3))
+def test_a_stream_is_cut_as_a_whole(batches, chunk, every):
+    """The cuts of a stream cost as little as the best cuts of all of it at once, by brute force."""
+    window, ends = 16, np.zeros(10, bool)
+    ends[4] = True
+    packer, out, documents, number = packing.Packer(ends, window, chunk, split_tail=False), [], [], 0
+    for batch in batches:
+        ids = [np.array([4 if every and i % (every + 1) == 0 else 3 for i in range(n)], "<u4") for n in batch]
+        out += list(packer.add(number, ids))
+        number += len(ids)
+        documents += ids
+    out += list(packer.finish())
+    at, cost = packing.candidates(documents, ends, window)
+    penalty, sizes = dict(zip(at.tolist(), cost.tolist(), strict=True)), defaultdict(int)
+    best = {0: 0}
+    for p, c in penalty.items():
+        best[p] = min(v + window - (p - q) + c for q, v in best.items() if p - q <= window)
+    for _, _, ids, sequence, _ in out:
+        sizes[sequence] += len(ids)
+    got = place = 0
+    for k in sorted(sizes):
+        place += sizes[k]
+        got += window - sizes[k] + penalty[place]
+    assert place == at[-1] and got == best[place]
+
+
 def test_long_streams_keep_order():
     ends = np.zeros(10, bool)
     packer, out = packing.Packer(ends, window=8, chunk=32), []
     for i in range(40):
-        out += list(packer.add(i, np.full(1 + i % 5, 3, "<u4")))
+        out += list(packer.add(i, [np.full(1 + i % 5, 3, "<u4")]))
     out += list(packer.finish())
     seen = [(n, start) for n, start, *_ in out]
     assert seen == sorted(seen) and sum(len(x[2]) for x in out) == sum(1 + i % 5 for i in range(40))
