@@ -6,8 +6,8 @@ text are escaped, reversibly: a backslash goes before every backslash, and befor
 the template's.
 
 Conversations that share their first turns share those turns' nodes. Equal conversations
-are one path. The distinct paths, in the order of their turns' digests, are cut into
-sequences of about SEQUENCE characters; a sequence is a walk over the tree, depth first, that
+are one path. The distinct paths are ranked by all their turns' digests, so that those under
+a node stand together at any depth, and are cut into sequences of about SEQUENCE characters; a sequence is a walk over the tree, depth first, that
 emits every node once, with its position in its conversation, and for each node the intervals
 of the sequence that it may attend to: its ancestors and itself. Where a tree is larger than
 a sequence, the next one repeats the path that it continues, for attention cannot reach into
@@ -31,8 +31,6 @@ from millrace.llm.common import cut
 
 START, END = "<|im_start|>", "<|im_end|>"
 SEQUENCE = 1 << 18
-#: Turns of a path that take part in its sort key; paths that agree in them stay apart by the rest.
-KEY_TURNS = 64
 ASSISTANT = "assistant"
 
 _CONTROL = re.compile(r"\\|<\||\|>")
@@ -89,27 +87,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From turns by conversation: (conv, path, leaf, turns); path: the digests of the first turns, to sort by."""
+    """From turns by conversation: (conv, path, leaf, turns); path: eight bytes of each turn's digest, to sort by."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.binary(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "path", "leaf", "turns"])
 
     now, path, last, turns, done = None, [], b"", 0, []
     for r in _rows(batches):
         if r["conv"] != now:
             if now is not None:
-                done.append((now, "".join(path), last.hex(), turns))
+                done.append((now, b"".join(path), last.hex(), turns))
             now, path, last, turns = r["conv"], [], b"", 0
-            if len(done) >= 4096:
+            if len(done) >= 4096 or sum(len(d[1]) for d in done[-1:]) > 1 << 20:
                 yield out(done)
                 done = []
         last = chain(last, r["role"], r["text"])
         turns += 1
-        if turns <= KEY_TURNS:
-            path.append(last[:4].hex())
+        path.append(last[:8])
     if now is not None:
-        done.append((now, "".join(path), last.hex(), turns))
+        done.append((now, b"".join(path), last.hex(), turns))
     if done:
         yield out(done)
 
@@ -132,7 +129,7 @@ def _walk(size: int):
         from pyspark import TaskContext
 
         base, sequence, order = TaskContext.get().partitionId() << 40, 0, 0
-        stack: list[tuple] = []  # of the current path: digest, node, offset, position, length
+        stack: list[tuple] = []  # of the current path: digest, node, position, length, and what it attends to
         now, depth, last, length, nodes, out = None, 0, b"", 0, 0, []
 
         def ended() -> dict:
@@ -152,14 +149,14 @@ def _walk(size: int):
                 continue
             del stack[depth:]
             written, start, end = format_turn(r["role"], r["text"])
-            position = stack[-1][3] + stack[-1][4] if stack else 0
-            stack.append((last, nodes, length, position, len(written)))
-            spans: list[dict] = []
-            for _, _, offset, _, n in stack:
-                if spans and spans[-1]["end"] == offset:
-                    spans[-1]["end"] = offset + n
-                else:
-                    spans.append({"start": offset, "end": offset + n})
+            position = stack[-1][2] + stack[-1][3] if stack else 0
+            spans = list(stack[-1][4]) if stack else []
+            # a node next to its parent lengthens the last interval; a branch begins another
+            if spans and spans[-1]["end"] == length:
+                spans[-1] = {"start": spans[-1]["start"], "end": length + len(written)}
+            else:
+                spans.append({"start": length, "end": length + len(written)})
+            stack.append((last, nodes, position, len(written), spans))
             loss = r["role"] == ASSISTANT
             out.append(dict(
                 sequence_id=base + sequence, row=order, node=nodes, parent=stack[-2][1] if depth else -1, depth=depth, offset=length, position=position,
@@ -200,10 +197,12 @@ def prefix_tree(conversations: DataFrame, size: int = SEQUENCE) -> tuple[DataFra
     """
     turns = turns_of(conversations)
     order = ["turn", "role", "text"]
-    paths = cut(turns.select("conv", *order).repartition("conv").sortWithinPartitions("conv", *order).select("conv", "role", "text").mapInArrow(_paths, "conv string, path string, leaf string, turns bigint"))
+    paths = cut(turns.select("conv", *order).repartition("conv").sortWithinPartitions("conv", *order).select("conv", "role", "text").mapInArrow(_paths, "conv string, path binary, leaf string, turns bigint"))
     distinct = paths.groupBy("leaf").agg(F.min_by("conv", F.struct(F.length("conv"), "conv")).alias("conv"), F.min("path").alias("path"))
-    chosen = turns.select("conv", *order).join(distinct, "conv")
-    walk = chosen.repartitionByRange("path", "leaf").sortWithinPartitions("path", "leaf", *order).select("leaf", "role", "text")
+    # the whole path is moved once for each path; its turns carry the rank
+    ranked = cut(distinct.orderBy("path", "leaf").select("conv", "leaf", F.monotonically_increasing_id().alias("rank")))
+    chosen = turns.select("conv", *order).join(ranked, "conv")
+    walk = chosen.repartitionByRange("rank").sortWithinPartitions("rank", *order).select("leaf", "role", "text")
     tree = walk.mapInArrow(_walk(size), NODE)
     members = paths.select(F.when(F.col("conv") != "null", F.col("conv")).cast("bigint").alias("conv_id"), "leaf", "turns")
     return tree, members
@@ -272,9 +271,9 @@ WITH t AS (
   UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(24 + length(regexp_replace(replace(role, chr(10), '..'), '(\\|<\||\|>)', '.\1', 'g')) + length(regexp_replace(text, '(\\|<\||\|>)', '.\1', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -65,10 +65,22 @@ def test_shared_turns_are_emitted_once(spark):
     assert len({r[1] for r in rows_of(members)}) == 1 + len({(c % 7, c % 5) for c in range(20)})
 
 
+def test_long_shared_paths_are_emitted_once(spark):
+    """Conversations that share 100 or 1,000 turns and then part in two."""
+    for shared in (100, 1000):
+        rows = [(c, t, "user", f"turn {t}") for c in range(12) for t in range(shared)] + [(c, shared + t, "assistant", f"{c % 2} or {c // 2 * t}") for c in range(12) for t in range(2)]
+        tree, members = chat.prefix_tree(table(spark, rows).coalesce(1))
+        nodes = tree.filter("leaf is null").select("sequence_id", "depth", "parent", "formatted", F.size("attends").alias("n")).collect()
+        assert len({n["sequence_id"] for n in nodes}) == 1
+        assert len(nodes) == shared + 2 + len({(c % 2, c // 2) for c in range(12)})
+        assert max(n["n"] for n in nodes) <= 3
+        assert sorted(rows_of(chat.read_back(tree, members)), key=repr) == want(rows)
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    rows = [r for r in ROWS if r[0] is not None and r[1] is not None]
+    rows = [r for r in ROWS if r[0] is not None]
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     assert sorted(con.execute(chat.SQL).fetchall()) == sorted(rows_of(chat.format_all(spark, table(spark, rows))))
 
