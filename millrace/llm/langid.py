@@ -4,11 +4,12 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 likelihood is the sum over all its segmentations into pieces, by the forward algorithm;
 a text's is the product over its words. The piece probabilities are fitted by expectation
 maximisation (forward and backward sums) on a bounded sample of labelled rows: at most
-``sample_docs`` documents a language, chosen by a hash of their id, and of their words the
-``sample_words`` most frequent a language. Every text is scored whole.
+``sample_docs`` documents a language, chosen by a hash of their id, with all their words.
+Every text is scored whole.
 
-Words are runs of letters of the lower-cased text. A run over MAX_RUN letters is scored as
-consecutive runs of that length.
+Words are runs of letters of the lower-cased text, of any length; pieces are as long as the
+vocabulary's longest. The sums are scaled at every letter, so that none is too small for a
+double, and a word's sums are kept for as many letters back as a piece is long.
 """
 
 from __future__ import annotations
@@ -27,16 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_DOCS = 500
-SAMPLE_WORDS = 20_000
 ROUNDS = 4
-MAX_PIECE = 8
-MAX_RUN = 48
 UNKNOWN = 1e-7
 SMOOTH = 0.1
 #: Chunks between white space whose score a worker remembers; beyond that it starts anew.
 REMEMBERED = 200_000
-#: Words whose lattices are in memory at a time.
-BLOCK = 4096
+#: Letters of the words whose lattices are in memory at a time.
+BLOCK = 1 << 15
 MARK = "▁"
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -55,13 +53,12 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    kept = {p for p in own if len(p) <= MAX_PIECE and p == p.lower() and (p == MARK or _LETTERS.fullmatch(p.removeprefix(MARK)))}
+    kept = {p for p in own if p == p.lower() and (p == MARK or _LETTERS.fullmatch(p.removeprefix(MARK)))}
     return sorted(kept | {MARK}, key=lambda p: (len(p), p))
 
 
 def runs(text: str) -> list[str]:
-    found = _LETTERS.findall(text)
-    return found if all(len(w) <= MAX_RUN for w in found) else [w[i : i + MAX_RUN] for w in found for i in range(0, len(w), MAX_RUN)]
+    return _LETTERS.findall(text)
 
 
 class Lattice:
@@ -69,6 +66,7 @@ class Lattice:
 
     def __init__(self, vocabulary: list[str]):
         self.unknown = len(vocabulary)
+        self.longest = max(map(len, vocabulary), default=1)
         size = 1 << max(16, (len(vocabulary) * 32).bit_length())
         self.mask = np.uint64(size - 1)
         keys = np.zeros(len(vocabulary), np.uint64)
@@ -109,9 +107,9 @@ class Lattice:
         lengths = np.fromiter(map(len, marked), np.int64, len(marked))
         width = int(lengths.max())
         codes = np.frombuffer("".join(w.ljust(width, "\0") for w in marked).encode("utf-32-le"), "<u4").reshape(len(marked), width).astype(np.uint64)
-        out = np.full((len(marked), width, MAX_PIECE), -1, np.int64)
+        out = np.full((len(marked), width, min(self.longest, width)), -1, np.int64)
         h = np.zeros_like(codes)
-        for n in range(1, min(MAX_PIECE, width) + 1):
+        for n in range(1, out.shape[2] + 1):
             h = (h[:, : width - n + 1] + codes[:, n - 1 :] + np.uint64(1)) * _MULTIPLIER
             out[:, : width - n + 1, n - 1] = self.lookup(h)
         single = out[:, :, 0]
@@ -120,32 +118,73 @@ class Lattice:
         return out, lengths
 
 
-def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[n, i, k]: over the segmentations of the first i characters. p: (pieces + 2) x languages, the last row 0."""
+def forward(ids: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of each word's sum over all its segmentations, by language. p: (pieces + 2) x languages, the last row 0.
+
+    recent[j] holds the sums over the first i - j letters, all divided by the same scale. Only
+    pieces that some word of the block has at a place are looked at there.
+    """
     n, width, most = ids.shape
-    alpha = np.zeros((n, width + 1, p.shape[1]))
-    alpha[:, 0] = 1
+    recent = np.zeros((most, n, p.shape[1]))
+    recent[0] = 1
+    scale, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+    some = (ids >= 0).any(axis=0)
     for i in range(1, width + 1):
+        now = np.zeros((n, p.shape[1]))
         for length in range(1, min(most, i) + 1):
-            alpha[:, i] += alpha[:, i - length] * p[ids[:, i - length, length - 1]]
-    return alpha
-
-
-def backward(ids: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+            if some[i - length, length - 1]:
+                now += recent[(i - length) % most] * p[ids[:, i - length, length - 1]]
+        if i % 4 == 0 or i == width:  # a letter is worth 1e-7 at least: four are far from a double's end
+            by = np.where(now > 0, now, 1.0)
+            recent /= by
+            now, scale = now / by, scale + np.log(by)
+        ended = lengths == i
+        if ended.any():
+            out[ended] = np.log(now[ended]) + scale[ended]
+        recent[i % most] = now
+    return out
+
+
+def expected(ids: np.ndarray, lengths: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often each piece is used in the words, weighed: one step of expectation. p: by piece, for one language."""
     n, width, most = ids.shape
-    beta = np.zeros((n, width + 1, p.shape[1]))
-    beta[np.arange(n), lengths] = 1
+    alpha, beta = np.zeros((n, width + 1)), np.zeros((n, width + 1))
+    up, down = np.zeros((n, width + 1)), np.zeros((n, width + 1))  # logs of the scales
+    alpha[:, 0], beta[np.arange(n), lengths] = 1, 1
+    for i in range(1, width + 1):
+        for length in range(1, min(most, i) + 1):
+            alpha[:, i] += alpha[:, i - length] * np.exp(up[:, i - length] - up[:, i - 1]) * p[ids[:, i - length, length - 1]]
+        by = np.where(alpha[:, i] > 0, alpha[:, i], 1.0)
+        alpha[:, i] /= by
+        up[:, i] = up[:, i - 1] + np.log(by)
     for i in range(width - 1, -1, -1):
+        last = np.where(lengths > i, 0.0, 1.0)
         for length in range(1, min(most, width - i) + 1):
-            beta[:, i] += beta[:, i + length] * p[ids[:, i, length - 1]]
-    return beta
+            beta[:, i] += beta[:, i + length] * np.exp(down[:, i + length] - down[:, i + 1]) * p[ids[:, i, length - 1]]
+        by = np.where((beta[:, i] > 0) & (last == 0), beta[:, i], 1.0)
+        beta[:, i] /= by
+        down[:, i] = down[:, i + 1] + np.log(by)
+    whole = up[np.arange(n), lengths]
+    out = np.zeros(len(p))
+    for length in range(1, most + 1):
+        at = ids[:, : width - length + 1, length - 1]
+        end = at.shape[1]
+        logs = np.minimum(up[:, :end] + down[:, length : length + end] - whole[:, None], 700)
+        part = np.where(at >= 0, alpha[:, :end] * p[at] * beta[:, length : length + end] * np.exp(logs) * weight[:, None], 0)
+        out += np.bincount(at.ravel() % len(p), part.ravel(), len(p))
+    return out
 
 
 def blocks(words: list[str]) -> Iterator[np.ndarray]:
-    """Indices of words of about the same length, BLOCK at a time."""
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for at in range(0, len(order), BLOCK):
-        yield order[at : at + BLOCK]
+    """Indices of words of about the same length, about BLOCK letters at a time."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order, at = np.argsort(lengths, kind="stable"), 0
+    while at < len(order):
+        end = at + max(1, BLOCK // (int(lengths[order[at]]) + 1))
+        while end > at + 1 and (end - at) * (int(lengths[order[min(end, len(order)) - 1]]) + 1) > 2 * BLOCK:
+            end = at + (end - at) // 2
+        yield order[at:end]
+        at = end
 
 
 @dataclass
@@ -166,19 +205,14 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
         words = list(counts[language])
         weight = np.fromiter(counts[language].values(), float, len(words))
         prepared = [(weight[at], *lattice.ids([words[i] for i in at])) for at in blocks(words)]
-        now = np.append(np.full(size, 1 / size), [UNKNOWN, 0])[:, None]
+        now = np.append(np.full(size, 1 / size), [UNKNOWN, 0])
         for _ in range(rounds):
-            expected = np.zeros(size + 2)
+            used = np.zeros(size + 2)
             for w, ids, lengths in prepared:
-                alpha, beta = forward(ids, now)[:, :, 0], backward(ids, lengths, now)[:, :, 0]
-                z = np.maximum(alpha[np.arange(len(w)), lengths], 1e-300)
-                for n in range(1, min(ids.shape[2], ids.shape[1]) + 1):
-                    at = ids[:, : ids.shape[1] - n + 1, n - 1]
-                    part = alpha[:, : at.shape[1]] * now[at, 0] * beta[:, n : n + at.shape[1]] * (w / z)[:, None]
-                    expected += np.bincount(at.ravel() % (size + 2), part.ravel(), size + 2)
-            total = expected[:size].sum() + SMOOTH * size
-            now = np.append((expected[:size] + SMOOTH) / total, [UNKNOWN, 0])[:, None]
-        p[:, k] = now[:, 0]
+                used += expected(ids, lengths, now, w)
+            total = used[:size].sum() + SMOOTH * size
+            now = np.append((used[:size] + SMOOTH) / total, [UNKNOWN, 0])
+        p[:, k] = now
     return Model(languages, vocabulary, p)
 
 
@@ -198,7 +232,7 @@ class Scorer:
         out = np.zeros((len(words), len(self.model.languages)))
         for at in blocks(words):
             ids, lengths = self.lattice.ids([words[i] for i in at])
-            out[at] = np.log(np.maximum(forward(ids, self.model.p)[np.arange(len(at)), lengths], 1e-300))
+            out[at] = forward(ids, lengths, self.model.p)
         return out
 
     def learn(self, chunks: set[str]) -> None:
@@ -247,17 +281,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+def train(labelled: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fits on documents (doc_id, text, lang); rows without text or lang teach nothing."""
     usable = labelled.filter("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs)
     # at most sample_docs rows a language
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = word_counts(sample).withColumn("k", F.row_number().over(by_count)).filter(F.col("k") <= sample_words)
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in top.orderBy("lang", "k").select("lang", "word", "n").toLocalIterator():
+    for lang, word, n in word_counts(sample).orderBy("lang", "word").toLocalIterator():
         counts.setdefault(lang, {})[word] = n
     for (lang,) in chosen.select("lang").distinct().collect():
         counts.setdefault(lang, {})

@@ -29,6 +29,47 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(scorer.words([word])[0, k], math.log(segmentations("▁" + word, p)), rel_tol=1e-9)
 
 
+def test_long_words_are_summed_in_one_pass():
+    """A run of 2,000 letters, against the plain sums in logs; letters of no piece; nothing is cut or tied."""
+    vocabulary = ["▁", "a", "b", "ab", "ba", "▁ab", "abababababab"]
+    model = langid.fit({"x": {"abab": 3, "ba": 1}, "y": {"bb": 2, "q": 1}}, vocabulary)
+    scorer = langid.Scorer(model)
+    for word in ("ab" * 1000, "z" * 2000, "q" * 60 + "ab" * 30):
+        marked = "▁" + word
+        for k in range(2):
+            p, logs = dict(zip(vocabulary, model.p[:, k], strict=False)), [0.0]
+            for i in range(1, len(marked) + 1):
+                parts = [logs[i - n] + math.log(q) for n in range(1, min(12, i) + 1) if (q := p.get(marked[i - n : i], langid.UNKNOWN if n == 1 else 0.0))]
+                logs.append(max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts)))
+            assert math.isclose(scorer.words([word])[0, k], logs[-1], rel_tol=1e-9)
+    x, y = scorer.words(["ab" * 300])[0]
+    assert x > y
+    assert langid.runs("日" * 500) == ["日" * 500]
+
+
+def test_expectation_by_enumeration():
+    vocabulary = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
+    lattice = langid.Lattice(vocabulary)
+    p = np.array([0.2, 0.1, 0.15, 0.2, 0.1, 0.05, 0.2, langid.UNKNOWN, 0])
+    words = ["abab", "ba", "bbq"]
+    ids, lengths = lattice.ids(words)
+    got = langid.expected(ids, lengths, p, np.array([3.0, 1.0, 2.0]))
+    want = np.zeros(len(p))
+    for word, times in zip(words, (3, 1, 2), strict=True):
+        marked, ways = "▁" + word, []
+        for n in range(len(marked)):
+            for cuts in itertools.combinations(range(1, len(marked)), n):
+                parts = [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
+                where = [vocabulary.index(x) if x in vocabulary else len(vocabulary) if len(x) == 1 else -1 for x in parts]
+                if min(where) >= 0:
+                    ways.append((math.prod(p[i] for i in where), where))
+        total = sum(v for v, _ in ways)
+        for v, where in ways:
+            for i in where:
+                want[i] += times * v / total
+    assert np.allclose(got, want)
+
+
 def test_rounds_raise_the_likelihood():
     counts, vocabulary = {"x": {"abab": 5, "abba": 2, "ba": 1}}, ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
     said = []
@@ -44,7 +85,7 @@ def test_hash_slots_do_not_confuse_pieces():
     ids, _ = lattice.ids([p.removeprefix("▁") for p in vocabulary if p.startswith("▁") and len(p) > 1][:5000])
     for w, row in zip([p for p in vocabulary if p.startswith("▁") and len(p) > 1][:5000], ids, strict=True):
         for i in range(len(w)):
-            for n in range(1, langid.MAX_PIECE + 1):
+            for n in range(1, row.shape[1] + 1):
                 want = w[i : i + n] if i + n <= len(w) else None
                 got = row[i, n - 1]
                 assert (vocabulary[got] == want) if 0 <= got < len(vocabulary) else got == -1 or (n == 1)
