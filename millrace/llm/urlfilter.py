@@ -6,7 +6,9 @@ by a rule, and allowed otherwise. Aliases are the URLs connected by redirects an
 links, whichever way they point. Only blocks spread; a URL's own allow rule always stands.
 
 Links are read off the pages (canonical links and refresh redirects) and can be given as a
-table too. The graph holds linked URLs only, so pages without links never enter it.
+table too. A target that is relative (``//host/x``, ``/x``, ``x``, ``?x``) is resolved against
+its page's URL; one with another kind of scheme (``mailto:``) is no link. The graph holds linked
+URLs only, so pages without links never enter it.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ RULES = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-CANONICAL = r"""(?is)\brel\s*=\s*["']?canonical["'\s/>]"""
+CANONICAL = r"""(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical[\s/>])"""
 REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?refresh["'\s/>]"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -59,12 +61,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """The address that ``target`` means on the page ``base``; null where it is none."""
+    start = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    directory = F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
+    return (
+        F.when(target.contains("://"), target)
+        .when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(start, target))
+        .when(target.startswith("?"), F.concat(start, path(base), target))
+        .when(target.startswith("#") | (target == ""), F.lit(None).cast("string"))
+        .otherwise(F.concat(start, F.when(directory == "", F.lit("/")).otherwise(directory), target))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst): the absolute addresses that pages name as canonical or redirect to."""
     tags = pages.filter(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
     tag = tags.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
     to = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", REFRESH_URL, 1))
-    return tag.select("src", to.alias("dst")).filter(F.col("dst").contains("://"))
+    return tag.filter(F.col("src").contains("://")).select("src", resolved(F.col("src"), to).alias("dst")).filter("dst is not null")
 
 
 def node(url: Column) -> Column:
@@ -106,9 +123,14 @@ WITH RECURSIVE p AS (
 ), t AS (
   SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
   WHERE url LIKE '%://%' AND regexp_matches(html, '(?i)canonical|http-equiv')
+), o AS (
+  SELECT src, CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical[\s/>])') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh["''\s/>]') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS dst, regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) AS start, regexp_extract(substr(src, instr(src, '://') + 3), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM t
 ), l AS (
-  SELECT src, CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical["''\s/>]') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh["''\s/>]') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS dst FROM t
+  SELECT src, CASE WHEN dst LIKE '%://%' THEN dst WHEN regexp_matches(dst, '(?s)^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(dst, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || dst WHEN starts_with(dst, '/') THEN start || dst
+    WHEN starts_with(dst, '?') THEN start || path || dst WHEN starts_with(dst, '#') OR dst = '' THEN NULL
+    ELSE start || CASE WHEN regexp_extract(path, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || dst END AS dst FROM o
 ), e AS (
   SELECT src AS a, dst AS b FROM l WHERE dst LIKE '%://%' UNION SELECT dst, src FROM l WHERE dst LIKE '%://%'
 ), n AS (
@@ -125,11 +147,11 @@ WITH RECURSIVE p AS (
     SELECT a, b, (SELECT r.verdict FROM rules r WHERE (alias.host = r.host OR ends_with(alias.host, '.' || r.host)) AND starts_with(alias.path, r.path) ORDER BY length(r.host || r.path) DESC LIMIT 1) AS verdict FROM alias
   ) WHERE verdict = 'block'
 ), j AS (
-  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT row_number() OVER () AS own, page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS tail FROM p
 ), f AS (
-  SELECT j.page_id, j.host, j.path, j.tail, r.host || r.path AS rule, r.verdict,
-    row_number() OVER (PARTITION BY j.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+  SELECT j.own, j.page_id, j.host, j.path, j.tail, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY j.own ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
   FROM j LEFT JOIN rules r ON (j.host = r.host OR ends_with(j.host, '.' || r.host)) AND starts_with(j.path, r.path)
 )
 SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN s.a IS NOT NULL THEN 'block' END, 'allow') AS verdict

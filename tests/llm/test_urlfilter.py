@@ -1,7 +1,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from millrace.llm import urlfilter
+from millrace.llm import components, urlfilter
 from tests.llm.fixtures import CLASH, rows_of
 
 PAGES = "page_id bigint, url string, html string"
@@ -22,6 +22,9 @@ ROWS = [
     (10, None, link("http://x.com/de/1"), "allow"), (11, "no scheme/de/", "", "allow"), (12, "http://notexample.org/es/", "", "allow"), (13, "http://example.org", "", "allow"),
     (14, "HTTP://Y.net/a", "", "block"), (15, "http://w.net/", '<a href="http://x.com/de/1">canonical</a>', "allow"), (16, "http://com/de/", "", "block"), (16, "http://com/de/", "", "block"),
     (17, "a://b://c.com/de/", "", "allow"), (18, "http://u.com/x?http://v.com/de/", "", "allow"), (19, "", "", "allow"), (20, "http://v.net/" + "p" * 20000, "", "allow"),
+    (21, "http://r.com/de/x", link("/en/y"), "block"), (22, "http://r.com/en/y", "", "block"), (23, "http://s.net/a/b", refresh("//x.com/de/1"), "block"), (24, "http://r.com/en/z?q", link("../de"), "allow"),
+    (25, "http://r.com/de/dir/x", link("sub"), "block"), (26, "http://t.net/", "<link rel='alternate canonical' href=/k>", "allow"), (27, "http://r.com/en/m", link("mailto:a@b"), "allow"), (28, "http://r.com", link("en/y"), "block"),
+    (29, "http://r.com/en/q", link("?x=1"), "allow"),
 ]
 
 
@@ -41,11 +44,33 @@ def test_rules_and_aliases(spark):
 def test_sql_agrees_on_links(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
-    rows = [r[:3] for i, r in enumerate(ROWS) if r[0] not in [x[0] for x in ROWS[:i]]]
+    rows = [r[:3] for r in ROWS]
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
     assert sorted(con.execute(urlfilter.SQL).fetchall()) == sorted(rows_of(urlfilter.judge(table(spark, rows))))
 
 
+def test_components_at_size(spark, monkeypatch):
+    """100,000 edges: a hub, a long chain, pairs and triples; every round over all partitions."""
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    hub = [(0, 10 * i) for i in range(1, 50_001)]
+    chain = [(1_000_001 + i, 1_000_002 + i) for i in range(1_500)]
+    pairs = [(2_000_000 + 3 * i, 2_000_001 + 3 * i + i % 2) for i in range(50_000)]
+    edges = hub + chain + pairs
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = dict(rows_of(components.connected_components(spark.createDataFrame([e[:: 1 if i % 2 else -1] for i, e in enumerate(edges)], "a bigint, b bigint"))))
+    assert got == {x: root(x) for x in list(up)}
+
+
 def test_redirect_table_and_empty(spark):
     moved = spark.createDataFrame([("http://z.net/q", "http://gone.com/de/5"), (None, "http://x.com/de/1"), ("nothing", "http://x.com/de/1")], "src string, dst string")
     by = {r[0]: r[4] for r in rows_of(urlfilter.judge(table(spark), moved))}
