@@ -79,13 +79,14 @@ class Tree:
         """Per query and node the inner product to hope for: the centre's, and the spread in the query's direction."""
         return q @ self.centers.T + np.sqrt((q**2).sum(axis=1))[:, None] * self.spreads[None, :]
 
-    def best_bins(self, promise: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def best_bins(self, promise: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best first, and as many more as hold ``least`` vectors, by the leaves' sizes."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or held < least):
             node = self.nodes[heapq.heappop(queue)[1]]
             if node.leaf >= 0:
                 out.append(node.leaf)
+                held += 0 if sizes is None else int(sizes[node.leaf])
             for c in node.children:
                 heapq.heappush(queue, (-promise[c], c))
         return out
@@ -187,7 +188,7 @@ def _block(spark, rows: DataFrame, width: int) -> Queries:
 def calibrate(index: DataFrame, tree: Tree, width: int, k: int, probes: int = PROBES, target: float = TARGET) -> int:
     """Leaf visits that find ``target`` of the k nearest of the sample queries, on average."""
     spark = index.sparkSession
-    own = _block(spark, index.orderBy(F.xxhash64(F.lit("probe"), "cid"), "cid").limit(probes), width)
+    own = _block(spark, index.orderBy(F.xxhash64(F.lit("probe"), "vec"), "vec").limit(probes), width)
     if not len(own.cid):
         return 1
     promise, said = tree.promises(own.vec), spark.sparkContext.broadcast(own)
@@ -213,20 +214,21 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, ta
 
     Queries: rows whose vec_id is divisible by ``query_every``; candidates: every row but the
     query's own. Nearest first, ties to the smaller vec_id; scores are those of the original
-    vectors. Fewer than k rows only where the visited leaves hold fewer; an index of at most
-    k classes is searched whole. Vectors that are null, zero, empty or hold a null or
-    non-finite component, and rows without vec_id, take no part; of rows that share a vec_id
-    one vector (the least) counts; shorter vectors count as padded with zeros. ``visits``
+    vectors. Fewer than k rows only where there are fewer candidates: where the calibrated visits
+    hold too few vectors more leaves are visited. Vectors that are null, zero, empty or hold a null or
+    non-finite component, and rows without vec_id, take no part; rows that share a
+    vec_id are candidates each, but not for a query of that id, and answer as one query;
+    shorter vectors count as padded with zeros. ``visits``
     overrides the calibrated number of leaves. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     kept = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     kept = kept.filter(vectors.finite("vec") & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False)))
-    rows = cut(vectors.one_per_id(kept))
+    rows = cut(kept.filter("vec_id is not null"))
     classes = cut(vectors.classes(rows, k))
     width, n = classes.agg(F.max(F.size("vec")), F.count(F.lit(1))).first()
     width = width or 0
-    fitted = _block(spark, classes.orderBy(F.xxhash64("cid"), "cid").limit(sample), width)
+    fitted = _block(spark, classes.orderBy(F.xxhash64("vec"), "vec").limit(sample), width)
     tree = fit(fitted.vec)
     shared = spark.sparkContext.broadcast(tree)
     salts = max(1, -(-n // (LEAF_ROWS * tree.leaves)))
@@ -234,6 +236,9 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, ta
     index = cut(index.sortWithinPartitions("leaf"))
     looks = visits or (tree.leaves if n <= k + 1 else calibrate(index, tree, width, k, target=target))
 
+    sizes = np.zeros(tree.leaves, np.int64)
+    for leaf, members in index.groupBy("leaf").count().collect():  # a number for each leaf
+        sizes[leaf] = members
     queries = cut(rows.filter(F.col("vec_id") % query_every == 0).join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qcid")))
     asked = cut(queries.select(F.col("qcid").alias("cid")).distinct().join(index, "cid"))
     blocks = max(1, -(-asked.count() // block))
@@ -242,12 +247,12 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, ta
         mine = asked.filter(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == i)  # about ``block`` rows
         own = _block(spark, mine, width)
         promise = tree.promises(own.vec) if len(own.cid) else np.zeros((0, len(tree.nodes)))
-        bins = [tree.best_bins(p, looks) for p in promise]
+        bins = [tree.best_bins(p, looks, sizes, k + 1) for p in promise]
         first = max(1, looks // FIRST)
         said = spark.sparkContext.broadcast(own)
         near = cut(_nearest(index, said, spark.sparkContext.broadcast(_visitors(bins, 0, first)), None, width, k))
         low = spark.sparkContext.broadcast(_bounds(near, own, k))
-        wide = _nearest(index, said, spark.sparkContext.broadcast(_visitors(bins, first, looks)), low, width, k)
+        wide = _nearest(index, said, spark.sparkContext.broadcast(_visitors(bins, first, tree.leaves)), low, width, k)
         itself = mine.select(F.col("cid").alias("qcid"), "cid", "vec")
         found += [near.drop("leaf"), wide.drop("leaf"), _itself(itself, width)]
     every = reduce(DataFrame.unionByName, found)

@@ -45,10 +45,10 @@ def _pairs(batch: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _times(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer products; in doubles where those are exact, else in 64-bit integers."""
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1]) < 2**53:
-        return q @ v.T
-    return q.astype(np.int64) @ v.astype(np.int64).T
+    """Products of 64-bit integers, as doubles: exact below 2**53, to a part in 2**52 beyond."""
+    if float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1]) < 2**53:
+        return q.astype(np.float64) @ v.astype(np.float64).T
+    return (q @ v.T).astype(np.float64)
 
 
 def _parts(nodes: DataFrame, slices: int, width: int) -> list[tuple[int, int]]:
@@ -62,7 +62,7 @@ def _gather(nodes: DataFrame, block, parts: list[tuple[int, int]], width: int, k
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Queries = block.value
         lists = {}
-        for ids, v, batch in vectors.batches_of(source, width, "part"):
+        for ids, v, batch in vectors.batches_of(source, width, "part", kind=np.int64):
             slices = batch.column("slice").to_numpy(zero_copy_only=False)
             for s in np.unique(slices).tolist():
                 lo, hi = parts[s]
@@ -70,7 +70,7 @@ def _gather(nodes: DataFrame, block, parts: list[tuple[int, int]], width: int, k
                 scores = _times(own.vec[:, lo:hi], v[at, : hi - lo])
                 scores = np.where(own.cid[:, None] == ids[at][None, :], -np.inf, scores)
                 r, c = vectors.near_top(scores, k, 0)
-                new = (r, scores[r, c].astype(float), ids[at][c])
+                new = (r, scores[r, c], ids[at][c])
                 new = tuple(np.concatenate(x) for x in zip(lists[s], new, strict=True)) if s in lists else new
                 lists[s] = vectors.best(*new, k)
         yield _pairs([(own.cid[q], ids) for q, _, ids in lists.values()])
@@ -84,10 +84,10 @@ def _resolve(pairs: DataFrame, classes: DataFrame, block, width: int) -> DataFra
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Queries = block.value
         order = np.argsort(own.cid)
-        for ids, v, batch in vectors.batches_of(source, width):
+        for ids, v, batch in vectors.batches_of(source, width, kind=np.int64):
             qcid = batch.column("qcid").to_numpy(zero_copy_only=False)
             q = own.vec[order[np.searchsorted(own.cid, qcid, sorter=order)]]
-            score = (q.astype(np.int64) * v.astype(np.int64)).sum(axis=1)
+            score = (q * v).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(qcid), pa.array(ids), pa.array(score)], names=["qcid", "cid", "score"])
 
     return pairs.join(classes.select("cid", "vec"), "cid").select("qcid", "cid", "vec").mapInArrow(run, "qcid bigint, cid bigint, score bigint")
@@ -98,8 +98,9 @@ def _collect(nodes: DataFrame, block, bounds, parts: list[tuple[int, int]], widt
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Queries = block.value
-        cutoff = np.array([bounds.value.get(c, -np.inf) for c in own.cid.tolist()]) / len(parts)
-        for ids, v, batch in vectors.batches_of(source, width, "part"):
+        cutoff = np.array([bounds.value.get(c, -np.inf) for c in own.cid.tolist()], float) / len(parts)
+        cutoff = cutoff - 1e-12 * np.where(np.isfinite(cutoff), np.abs(cutoff), 0)  # beyond 2**53 products are rounded
+        for ids, v, batch in vectors.batches_of(source, width, "part", kind=np.int64):
             slices, sent = batch.column("slice").to_numpy(zero_copy_only=False), []
             for s in np.unique(slices).tolist():
                 lo, hi = parts[s]
@@ -117,11 +118,12 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, sl
     Queries: rows whose vec_id is divisible by ``query_every``; candidates: every row but the
     query's own; all of them if there are fewer than k. Ties go to the smaller vec_id. Vectors
     that are null or hold a null or non-finite component, and rows without vec_id, take no
-    part; of rows that share a vec_id one vector (the least) counts; shorter vectors count
-    as padded with zeros. Scores are 64-bit integers. Other columns are ignored.
+    part; rows that share a vec_id are candidates each, but not for a query of that id, and
+    answer as one query; shorter vectors count as padded with zeros. Scores are 64-bit
+    integers. Other columns are ignored.
     """
     spark = embeddings.sparkSession
-    rows = cut(vectors.one_per_id(integers(embeddings)))
+    rows = cut(integers(embeddings).filter("vec_id is not null"))
     classes = cut(vectors.classes(rows, k))
     width = classes.agg(F.max(F.size("vec"))).first()[0] or 0
     queries = cut(rows.filter(F.col("vec_id") % query_every == 0).join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qcid")))
@@ -135,8 +137,8 @@ def search(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY, sl
     found = []
     for i in range(blocks):
         mine = asked.filter(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == i).toArrow()  # about ``block`` rows
-        own = spark.sparkContext.broadcast(Queries(mine["cid"].to_numpy(), vectors.matrix(mine["vec"], width) if mine.num_rows else np.zeros((0, width))))
-        known = cut(_resolve(_gather(nodes, own, parts, width, k), classes, own, width))
+        own = spark.sparkContext.broadcast(Queries(mine["cid"].to_numpy(), vectors.matrix(mine["vec"], width, np.int64) if mine.num_rows else np.zeros((0, width), np.int64)))
+        known = cut(_resolve(_gather(nodes, own, parts, width, k).filter("qcid <> cid"), classes, own, width))
         ranked = known.groupBy("qcid").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("kth")).filter("size(kth) = 1")
         bounds = spark.sparkContext.broadcast({q: b[0] for q, b in ranked.collect()})  # a number for each query of the block
         sent = _collect(nodes, own, bounds, parts, width)

@@ -1,9 +1,11 @@
 """What the two vector searches share.
 
-Equal vectors are searched as one class: a result of k rows for a query can only use the
-k + 1 smallest ids of a class (one may be the query's own), so a class keeps those, and a
-vector that a third of all rows have is one row. Queries are classes too; their answers
-are handed back to each of their rows at the end.
+Equal vectors are searched as one class: a result of k rows for a query can only use k rows
+of an id and, as its own id is left out, the 2 * k smallest rows of a class, so a class keeps
+those, and a vector that a third of all rows have is one row. Queries are classes too; their
+answers are handed back to each of their rows at the end. Rows that share a vec_id are
+candidates each; none of them is a candidate of a query with that id, and as queries
+they share one answer of k rows.
 """
 
 from __future__ import annotations
@@ -29,25 +31,23 @@ def finite(vector: str) -> Column:
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """(cid, vec, ids): the classes of rows (vec_id, vec) with their k + 1 smallest ids; cid is the smallest."""
+    """(cid, vec, ids): the classes of rows (vec_id, vec), numbered, with their 2 * k smallest ids, of which none k times over."""
+    # counted before the shuffle by vector: an id's repeats are one row of it
+    own = rows.groupBy("vec", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
     place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    few = rows.withColumn("place", place).filter(F.col("place") <= k + 1)
-    return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "vec", "ids")
+    few = own.withColumn("place", place).filter(F.col("place") <= 2 * k)
+    ids = F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "times"))), lambda x: F.array_repeat(x["vec_id"], x["times"]))), 1, 2 * k)
+    return few.groupBy("vec").agg(ids.alias("ids")).select(F.monotonically_increasing_id().alias("cid"), "vec", "ids")
 
 
-def one_per_id(rows: DataFrame) -> DataFrame:
-    """Rows without id go; of rows that share an id the least vector stays."""
-    return rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("vec").alias("vec"))
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of doubles, padded with zeros (or cut) to ``width``."""
+def matrix(column: pa.Array, width: int, kind=np.float64) -> np.ndarray:
+    """Rows of numbers, padded with zeros (or cut) to ``width``."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     if (sizes == width).all():
         return flat.reshape(len(sizes), width)
-    out, at = np.zeros((len(sizes), width)), 0
+    out, at = np.zeros((len(sizes), width), kind), 0
     for i, n in enumerate(sizes.tolist()):
         out[i, : min(n, width)] = flat[at : at + min(n, width)]
         at += n
@@ -89,15 +89,15 @@ def answers(found: DataFrame, classes_: DataFrame, queries: DataFrame, k: int) -
     """(query_id, rank, vec_id, score) of class pairs (qcid, cid, score) for query rows (query_id, qcid)."""
     each = found.join(classes_.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("vec_id"))
     order = [F.desc("score"), F.asc("vec_id")]
-    few = each.withColumn("place", F.row_number().over(Window.partitionBy("qcid").orderBy(*order))).filter(F.col("place") <= k + 1)
+    few = each.withColumn("place", F.row_number().over(Window.partitionBy("qcid").orderBy(*order))).filter(F.col("place") <= 2 * k)
     own = queries.join(few.drop("place"), "qcid").filter("vec_id <> query_id")
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def batches_of(source: Iterator[pa.RecordBatch], width: int, vec: str = "vec", cid: str = "cid") -> Iterator[tuple]:
+def batches_of(source: Iterator[pa.RecordBatch], width: int, vec: str = "vec", cid: str = "cid", kind=np.float64) -> Iterator[tuple]:
     """(ids, matrix, batch) of at most STEP rows."""
     for b in source:
         for at in range(0, b.num_rows, STEP):
             part = b.slice(at, STEP)
-            yield part.column(cid).to_numpy(zero_copy_only=False), matrix(part.column(vec), width), part
+            yield part.column(cid).to_numpy(zero_copy_only=False), matrix(part.column(vec), width, kind), part

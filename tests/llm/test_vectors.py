@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -61,13 +62,45 @@ def test_exact_search_in_blocks(spark):
 
 def test_exact_search_small_tables(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (51, [-1.0, 0.0]), (51, [-1.0, 0.0])]
-    assert sorted(rows_of(tput.search(table(spark, rows)))) == [(0, 1, 50, 327680), (0, 2, 51, -65536), (50, 1, 0, 327680), (50, 2, 51, -65536)]
+    assert sorted(rows_of(tput.search(table(spark, rows)))) == [(0, 1, 50, 327680), (0, 2, 51, -65536), (0, 3, 51, -65536), (50, 1, 0, 327680), (50, 2, 51, -65536), (50, 3, 51, -65536)]
+    assert [r[:3] for r in sorted(rows_of(ann.search(table(spark, rows), query_every=50)))] == [(0, 1, 50), (0, 2, 51), (0, 3, 51), (50, 1, 0), (50, 2, 51), (50, 3, 51)]
     assert rows_of(tput.search(table(spark, rows[:1]))) == []
     assert rows_of(tput.search(table(spark, rows).limit(0))) == []
     large = [(0, [1e8, 1.0]), (1, [1e6, 2.0]), (2, [3.0, 4.0])]
     assert sorted(rows_of(tput.search(table(spark, large))))[0][2] == 1
 
 
+def test_sql_agrees_on_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(30) * 10, [float(rng.randrange(-3, 4)) for _ in range(4)]) for _ in range(150)] + [(50, [1.0] * 4)] * 12 + [(51, [2.0] * 4)] * 9
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(con.execute(tput.SQL).fetchall()) == sorted(rows_of(tput.search(table(spark, rows))))
+
+
+def test_few_classes_over_many_partitions(spark):
+    """Huge groups of copies: fewer classes in a partition than neighbours asked for, the query's own among them."""
+    rng = random.Random(8)
+    kinds = [[float(rng.randrange(-9, 10)) for _ in range(6)] for _ in range(9)]
+    rows = [(i, kinds[i % 9] if i % 4 else kinds[0]) for i in range(200)]
+    assert sorted(rows_of(tput.search(table(spark, rows).repartition(40)))) == brute(rows, 50, 5, whole, lambda a, b: dot(ints(a), ints(b)))
+
+
+def test_products_beyond_doubles_are_exact(spark):
+    rows = [(0, [2.0**21 + 1, 1.0]), (1, [2.0**21 + 3, 5.0]), (2, [2.0**21 + 3, 3.0]), (3, [2.0**21 + 3, 4.0])]
+    assert sorted(rows_of(tput.search(table(spark, rows)))) == brute(rows, 50, 5, whole, lambda a, b: dot(ints(a), ints(b)))
+
+
+def test_an_outlier_still_gets_k(spark):
+    """Most vectors lie in tight groups, so few leaves are visited; a query in a thin leaf goes on."""
+    rng = random.Random(6)
+    centers = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(2 * i + 1, [x + rng.gauss(0, 0.01) for x in centers[i % 20]]) for i in range(1500)] + [(20 * i, [rng.gauss(0, 30) for _ in range(8)]) for i in range(10)]
+    got = rows_of(ann.search(table(spark, rows), visits=1))
+    assert len(got) == 10 * 20
+
+
 def test_whole_tree_is_exact(spark):
     rows = vectors_of(500) + ODD
     n = 10**6
