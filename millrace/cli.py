@@ -23,6 +23,7 @@ def main(args: list[str] | None = None) -> int:
     convert.add_argument("--input", required=True)
     convert.add_argument("--schema", required=True)
     convert.add_argument("--output", required=True)
+    convert.add_argument("--lines", action="store_true", help="no field holds a line end: files are split")
     run = commands.add_parser("run")
     run.add_argument("--input", required=True, help="Parquet table")
     run.add_argument("--output_dir", required=True)
@@ -31,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
 
     spark = get_session("millrace")
     if chosen.command == "convert":
-        csv_to_parquet(spark, chosen.input, load_schema(chosen.schema), chosen.output)
+        csv_to_parquet(spark, chosen.input, load_schema(chosen.schema), chosen.output, not chosen.lines)
         return 0
     table = spark.read.parquet(chosen.input)
     for part in chosen.queries.split(","):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
-#: Dialect: no header, comma, doubled quotes inside quoted fields, quoted newlines allowed.
-_CSV = {"sep": ",", "quote": '"', "escape": '"', "multiLine": "true"}
+#: Dialect: no header, comma, doubled quotes inside quoted fields.
+_CSV = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "header": "false"}
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -21,9 +22,14 @@ def fill_defaults(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Short rows are padded with defaults and extra fields ignored; text that is no number, date or time raises."""
-    raw = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path, header=False, mode="PERMISSIVE", **_CSV)
+def csv_rows(reader: DataFrameReader | DataStreamReader, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Batch or stream: short rows are padded with defaults and extra fields ignored; text that is no number, date or time raises.
+
+    With ``multi_line`` a quoted field may hold line ends, and a file is one task; without, files
+    are split.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = reader.schema(text).options(**_CSV, multiLine=multi_line).csv(path)
     typed = []
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
@@ -33,10 +39,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return fill_defaults(raw.select(*typed))
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    return csv_rows(spark.read, path, schema, multi_line)
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Header and rows with valid quoting. ``single_file`` is for results that are known to be small."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True, sep=",", quote='"', escape='"', emptyValue="")
 
 
-def csv_to_parquet(spark: SparkSession, source: str, schema: T.StructType, target: str) -> None:
-    read_csv(spark, source, schema).write.mode("overwrite").parquet(target)
+def csv_to_parquet(spark: SparkSession, source: str, schema: T.StructType, target: str, multi_line: bool = True) -> None:
+    read_csv(spark, source, schema, multi_line).write.mode("overwrite").parquet(target)

@@ -72,8 +72,15 @@ def unpack_footer(raw: bytes) -> Footer:
     return Footer(columns, groups)
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it, of a URI (``file:/x`` too) or a local path."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 def read_footer(path: str) -> Footer:
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system, inner = place(path)
     with system.open_input_file(inner) as f:
         size = f.size()
         if size < 24 or f.read_at(4, 0) != MAGIC:
@@ -85,7 +92,7 @@ def read_footer(path: str) -> Footer:
 
 
 def files_of(path: str) -> list[str]:
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system, inner = place(path)
     info = system.get_file_info(inner)
     if info.type != fs.FileType.Directory:
         return [path]
@@ -108,11 +115,14 @@ def pack_chunk(column: pa.Array, kind: int) -> bytes:
     if form:
         plain = column.cast(arrow).cast({4: pa.int32(), 8: pa.int64(), 2: pa.int16()}[np.dtype(form).itemsize])
         return plain.to_numpy(zero_copy_only=False).astype(form).tobytes()
-    values = [x.as_buffer().to_pybytes() for x in column.cast(pa.binary())]
-    offsets = np.cumsum([0, *map(len, values)])
-    if offsets[-1] >= 1 << 32:
+    wide = column.cast(pa.large_string()).cast(pa.large_binary())
+    _, starts, data = wide.buffers()
+    offsets = np.frombuffer(starts, "<i8", len(wide) + 1, wide.offset * 8) if starts is not None and starts.size else np.zeros(1, "<i8")
+    first, last = int(offsets[0]), int(offsets[-1])
+    if last - first >= 1 << 32:
         raise ValueError("a text chunk of 4 GiB or more")
-    return struct.pack("<I", len(values)) + offsets.astype("<u4").tobytes() + b"".join(values)
+    body = data.slice(first, last - first).to_pybytes() if data is not None else b""
+    return struct.pack("<I", len(wide)) + (offsets - first).astype("<u4").tobytes() + body
 
 
 @dataclass
@@ -130,13 +140,13 @@ class ColmReader(DataSourceReader):
         out = []
         for f in files_of(self.path):
             footer = read_footer(f)
-            place = {name: i for i, (name, _) in enumerate(footer.columns)}
+            at = {name: i for i, (name, _) in enumerate(footer.columns)}
             for rows, chunks in footer.groups:
-                out.append(Group(f, rows, [(footer.columns[place[c]][1], *chunks[place[c]]) for c in self.columns]))
+                out.append(Group(f, rows, [(footer.columns[at[c]][1], *chunks[at[c]]) for c in self.columns]))
         return out
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
-        system, inner = fs.FileSystem.from_uri(partition.path if "://" in partition.path else f"file://{partition.path}")
+        system, inner = place(partition.path)
         with system.open_input_file(inner) as f:
             arrays = [unpack_chunk(f.read_at(size, offset), kind, partition.rows) for kind, offset, size in partition.chunks]
         yield pa.RecordBatch.from_arrays(arrays, names=self.columns)
@@ -152,7 +162,7 @@ class ColmWriter(DataSourceArrowWriter):
         self.path, self.columns = path, [(f.name, _IDS[type(f.dataType)]) for f in schema.fields]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        system, inner = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, inner = place(self.path)
         system.create_dir(inner, recursive=True)
         target, groups, held = f"{inner}/part-{uuid.uuid4().hex}.colm", [], []
         with system.open_output_stream(target) as out:
@@ -179,7 +189,7 @@ class ColmWriter(DataSourceArrowWriter):
         return Written(target)
 
     def abort(self, messages: list) -> None:
-        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, _ = place(self.path)
         for m in messages:
             if m is not None:
                 system.delete_file(m.path)
@@ -206,10 +216,10 @@ class ColmSource(DataSource):
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ColmWriter:
         if overwrite:
-            system, inner = fs.FileSystem.from_uri(self.options["path"] if "://" in self.options["path"] else f"file://{self.options['path']}")
+            system, inner = place(self.options["path"])
             if system.get_file_info(inner).type == fs.FileType.Directory:
                 for f in files_of(self.options["path"]):
-                    system.delete_file(fs.FileSystem.from_uri(f if "://" in f else f"file://{f}")[1])
+                    system.delete_file(place(f)[1])
         return ColmWriter(self.options["path"], schema)
 
 

@@ -1,5 +1,6 @@
 import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -58,6 +59,29 @@ def test_streamed_csv(spark, tmp_path):
         (tmp_path / f"in/{name}.csv").write_text(f"1,2,{name},2024-01-02,2024-01-02 00:00:00\n")
         ingest_csv(spark, f"{tmp_path}/in", parse_schema(SCHEMA), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert [r[2] for r in rows(spark.read.parquet(f"{tmp_path}/out"))] == ["a", "b"]
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd/x.csv").write_text(CSV, newline="")
+    ingest_csv(spark, f"{tmp_path}/odd", parse_schema(SCHEMA), f"{tmp_path}/odd_out", f"{tmp_path}/odd_check").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/odd_out")) == ROWS
+
+
+def test_csv_files_are_split_without_quoted_lines(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("".join(f"{i},1,n{i},2024-01-02,2024-01-02 00:00:00\n" for i in range(5000)))
+    schema = parse_schema(SCHEMA)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        split = read_csv(spark, f"{tmp_path}/in.csv", schema, multi_line=False)
+        assert split.rdd.getNumPartitions() > 4 and rows(split) == rows(read_csv(spark, f"{tmp_path}/in.csv", schema))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_text_chunks():
+    whole = pa.array(["é", "", "日本", "x" * 1000] * 3)
+    for column in (whole, whole.slice(3, 5), whole.slice(0, 0), pa.array([], pa.string())):
+        raw = colm.pack_chunk(column, 4)
+        assert colm.unpack_chunk(raw, 4, len(column)).to_pylist() == column.to_pylist()
 
 
 def test_colm_round_trip(spark, tmp_path, monkeypatch):
