@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.scratch import shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a bitmap for each key, and in all: 2**26 bits are 8 MB.
@@ -15,21 +14,6 @@ BITS_A_KEY = 32
 MAX_BITS = 1 << 26
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset: beside the tables of the warehouse, which a cluster shares too; a
-    temporary folder only where driver and executors are one process.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and re.fullmatch(r"local(\[[^,]*(, *\d+)?\])?", sc.master):
-            folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
-        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -62,6 +46,12 @@ def maybe_in(key: Column, keys: DataFrame, name: str) -> Column:
     return F.getbit(F.get(table.scalar(), _word(hashed, words).cast("int")), _bit(hashed)) == 1
 
 
+def split_by(rows: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(apart, rest): rows whose key is surely not among ``keys`` and need no shuffle, and all others."""
+    may = F.coalesce(maybe_in(F.col(key), keys, name), F.lit(True))
+    return rows.filter(~may), rows.filter(may)
+
+
 def _word(hashed: Column, words: int) -> Column:
     return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(words - 1).cast("bigint"))
 

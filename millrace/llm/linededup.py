@@ -36,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, maybe_in, release
+from millrace.llm.common import cut, maybe_in, release, split_by
 from millrace.llm.components import connected_components
 
 SHINGLE = 8
@@ -240,18 +240,22 @@ def line_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMI
 def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with their columns, without the lines that are not kept.
 
-    A document that loses every line that is not blank goes; one that had none stays as it is.
-    The text is rebuilt only where a line goes, and n_chars with it where there is such a column.
+    A document that loses every line that is not blank goes; one that had none stays as it is, as
+    does a row without doc_id. Rows that share a doc_id share its places: what goes from one
+    goes from all. The text is rebuilt only where a line goes, and n_chars with it where there
+    is such a column. Only documents that may lose a line are shuffled.
     """
     groups = line_groups(docs, **parameters)
-    gone = groups.filter("not kept").groupBy("doc_id").agg(F.collect_set("place").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id")).join(gone, F.col("own_id") == F.col("gone_id"), "left")
-    numbered = F.transform(F.split("row.text", "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    rest = F.transform(F.filter(numbered, lambda x: ~F.array_contains("gone", x["i"])), lambda x: x["line"])
+    gone = cut(groups.filter("not kept").groupBy("doc_id").agg(F.collect_set("place").alias("gone")).withColumnRenamed("doc_id", "gone_id"))
+    apart, met = split_by(docs, "doc_id", gone, "gone_id")
+    joined = met.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id")).join(gone, F.col("own_id") == F.col("gone_id"), "left")
+    split = joined.select("row", "gone", F.split("row.text", "\n").alias("own_lines"))
+    joined = split.withColumn("places", F.array_except(F.sequence(F.lit(0), F.size("own_lines") - 1), "gone"))
+    rest = F.transform("places", lambda i: F.get("own_lines", i))
     whole = F.col("gone").isNull()
     cleaned = joined.select("row", whole.alias("whole"), F.when(whole, F.col("row.text")).otherwise(F.array_join(rest, "\n")).alias("text"))
     cleaned = cleaned.filter(F.col("whole") | ~blank(F.col("text")))
     own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
-    return cleaned.select(*[own[c] if c in own else F.col(f"row.`{c}`") for c in docs.columns])
+    return apart.unionByName(cleaned.select(*[own[c] if c in own else F.col(f"row.`{c}`") for c in docs.columns]))

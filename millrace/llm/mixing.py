@@ -141,14 +141,19 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows that the mix takes, with the columns of ``docs`` (doc_id unique): a row for each pass.
+    """The rows that the mix takes, with the columns of ``docs``: a row for each pass.
 
     A document is repeated for each whole pass; a part is its first words. n_chars, where
-    there is such a column, is that of the row's text.
+    there is such a column, is that of the row's text. Rows without doc_id, or that share one,
+    are documents of their own; rows alike in every column take as much as each other, the
+    mean of what the mix gives them, rounded down.
     """
     rows = docs.columns
-    taken = mix(docs, **parameters).filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size"), "taken")
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in rows]).alias("row"), F.col("doc_id").alias("own_id")).join(taken, F.col("own_id") == F.col("taken_id"))
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in rows])
+    each = mix(docs, row=content, **parameters).groupBy("doc_id", "row").agg(F.max("size").alias("taken_size"), F.call_function("div", F.sum("taken"), F.count(F.lit(1))).alias("taken"))
+    taken = each.filter("taken > 0").select(F.col("doc_id").alias("taken_id"), F.col("row").alias("taken_row"), "taken_size", "taken")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in rows]).alias("row"), F.col("doc_id").alias("own_id"), content.alias("own_row"))
+    joined = own.join(taken, (F.col("own_row") == F.col("taken_row")) & F.col("own_id").eqNullSafe(F.col("taken_id")))
     passes = joined.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("taken") - 1, F.col("taken_size")))))
     left = F.col("taken") - F.col("i") * F.col("taken_size")
     text = F.when(left >= F.col("taken_size"), F.col("row.text")).otherwise(first_words(F.col("row.text"), left))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, split_by
 from millrace.llm.components import connected_components
 
 BITS = 64
@@ -210,12 +210,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, as they are, whose doc_id is the smallest of its component.
 
-    Rows without doc_id go; of rows that share one, that of the least text stays.
+    Rows without doc_id go; of rows that share one, that of the least text stays. Only rows
+    that may go are shuffled.
     """
-    near = cut(near_duplicates(docs))
-    kept = near.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.filter("rows > 1").isEmpty():
+    near = near_duplicates(docs).filter("doc_id is not null")
+    each = cut(near.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("rows")))
+    gone = each.filter("not kept").select(F.col("doc_id").alias("gone_id"))
+    apart, met = split_by(docs.filter("doc_id is not null"), "doc_id", gone, "gone_id")
+    out = apart.unionByName(met.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"))
+    if each.filter("kept and rows > 1").isEmpty():
         return out
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
     rows = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("place"))

@@ -98,6 +98,12 @@ def test_documents_lose_the_lines(spark):
     assert sorted(rows_of(out)) == [(1, "one line here\nanother one", "en", "s", 25), (2, "new text now", "en", "s", 12), (4, "", "en", "s", 0), (5, None, None, None, None), (6, "x\n", "en", "s", 2)]
 
 
+def test_rows_without_or_with_a_shared_id(spark):
+    rows = [(None, "a line\nb line", None, None, 13), (1, "a line\nb line", None, None, 13), (1, "c line\nb line", None, None, 13), (2, "b line\nd line", None, None, 13)]
+    got = sorted(rows_of(linededup.dedup_lines(frame(spark, rows)).select("doc_id", "text")), key=repr)
+    assert got == sorted([(None, "a line\nb line"), (1, "a line\nb line"), (1, "c line\nb line"), (2, "d line")], key=repr)
+
+
 def test_lines_of_few_words_stay_apart(spark):
     alike = ["https://example.org/a", "https://python.net/zz", "https://x.y/login", "2024-01-01T00:00:01", "2024-01-31T23:59:59", "internationalization", "internationalism"]
     alike += ["photosynthesis", "photosynthetic", "Donaudampfschifffahrt", "Donaudampfmaschine", "abcdefgh-1111-2222-333", "abcdefgh-9999-0000-aaa"]
