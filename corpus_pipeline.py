@@ -6,12 +6,11 @@ reread. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import langid, linededup, mixing, packing, simhash
-from millrace.llm.common import load, shared_folder
+from millrace.llm.common import load
+from millrace.scratch import delete, new_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; their results lie in the shared folder."""
-    folder, docs = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", load(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    """The stages over ``documents``; the last one's rows lie in the shared folder, the others' are deleted."""
+    docs, before = load(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        written = new_folder(spark, f"corpus-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(written)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(written), written
     return docs
