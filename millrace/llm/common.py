@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.scratch import shared_folder
+from millrace.scratch import delete, shared_folder
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,8 +26,7 @@ def release(*frames: DataFrame) -> None:
         spark, leaves = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves()
         for leaf in (leaves.apply(i) for i in range(leaves.size())):
             if leaf.nodeName() == "LogicalRDD" and (file := leaf.rdd().getCheckpointFile()).isDefined():
-                path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(spark, file.get())
 
 
 def maybe_in(key: Column, keys: DataFrame, name: str) -> Column:

@@ -1,20 +1,25 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Built-in functions only. The units compared are the runs of up to WINDOW adjacent lines of a
-file with an anchor in them (joined; a term split drops comment marks), so that a wrapped
-header is met whole, and, for a license file, its whole text. A run without an anchor is not compared. A term's document
-frequency is counted over all files; only the templates' terms are counted, the others
-weigh as terms of no file. Dot products come from joining a unit's terms with the templates'
-(a fixed, small table), so terms that no template has cost nothing but their part of the norm.
-A file's license is the template of highest cosine if that reaches THRESHOLD.
-
-A directory's license is that of the license files in it (highest cosine, then name). A file
-without a license of its own takes that of the nearest directory above it that has one: each
+Built-in functions only. Templates are the notices below, the whole texts in ``license_texts``
+and the first OPENING words of each. The units compared are, of a file with an anchor in it:
+the runs of up to WINDOW adjacent lines with an anchor (joined; a term split drops comment
+marks), so that a wrapped header is met whole, the whole text, and its first OPENING words. A run
+without an anchor is not compared. A term's document frequency is counted over all files. Dot
+products come from joining a unit's terms with the templates' (a fixed, small table), so
+terms that no template has cost nothing but their part of the norm. A file's license is the
+template of highest cosine if that reaches THRESHOLD.
+
+A license file is one that has the name of one, or whose whole text is one. A directory's
+license is that of the license files in it (highest cosine, then name). A file without a
+license of its own takes that of the nearest directory above it that has one: each
 distinct directory is joined with its ancestors' paths, and the deepest wins.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +53,11 @@ TEMPLATES = (
 ANCHORS = r"(?i)licen[cs]|permission is hereby|redistribut|public domain|free software|\bCC[ -]?(BY|0)\b|creative commons|mozilla public|\bGNU\b|\bSPDX\b"
 #: Lines of a run at most.
 WINDOW = 8
+#: Words of a text's opening.
+OPENING = 100
+#: Rows of a small side that are broadcast at most.
+FEW = 100_000
+TEXTS = Path(__file__).with_name("license_texts")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
 
@@ -55,12 +65,21 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def templates() -> list[tuple[str, str]]:
+    """(license, text): notices, whole texts and their openings."""
+    out = list(TEMPLATES)
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        out += [(file.stem, text), (file.stem, " ".join(text.split()[:OPENING]))]
+    return out
+
+
 def template_terms() -> list[tuple[int, str, str, int]]:
     """(number, license, term, times) of the templates."""
     out = []
-    for i, (name, text) in enumerate(TEMPLATES):
-        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-        out += [(i, name, w, words.count(w)) for w in dict.fromkeys(words)]
+    for i, (name, text) in enumerate(templates()):
+        words = Counter("".join(c if c.isalnum() else " " for c in text.lower()).split())
+        out += [(i, name, w, n) for w, n in words.items()]
     return out
 
 
@@ -75,20 +94,19 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
-def idf(files: DataFrame) -> DataFrame:
-    """(term, idf) of the templates' terms, and of null for any other: ln((1 + files) / (1 + files with it)) + 1."""
-    vocabulary = sorted({t for _, _, t, _ in template_terms()})
-    hits = files.select(F.explode_outer(F.array_append(F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary))), F.lit(""))).alias("term"))
-    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    known = values(files.sparkSession, [(t,) for t in [*vocabulary, ""]], "term")
-    table = known.join(F.broadcast(counts), "term", "left")  # a row for each term of the templates at most
-    total = F.max(F.when(F.col("term") == "", F.coalesce("n", F.lit(0)))).over(Window.partitionBy(F.lit(0)))
-    value = F.log((1.0 + total) / (1.0 + F.when(F.col("term") == "", F.lit(0)).otherwise(F.coalesce("n", F.lit(0))))) + 1.0
-    return table.select(F.when(F.col("term") != "", F.col("term")).alias("term"), value.alias("idf"))
+def idf(files: DataFrame) -> tuple[DataFrame, int]:
+    """(term, n) of every term in the files, and the number of files."""
+    each = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n")), files.count()
+
+
+def weight(total: int) -> Column:
+    """ln((1 + files) / (1 + files with the term)) + 1; ``n`` is null for a term of no file."""
+    return F.log((1.0 + total) / (1.0 + F.coalesce("n", F.lit(0)))) + 1.0
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(path, unit, text): the runs of lines with an anchor, numbered, and license files as a whole (-1)."""
+    """(path, unit, text) of files with an anchor: the runs of lines, numbered, the whole text (-1) and its opening (-2)."""
     # inline() keeps the lines from being split again for each use
     split = files.filter(F.col("text").rlike(ANCHORS)).select("path", F.inline(F.array(F.struct(F.split("text", "\n").alias("lines")))))
     at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(ANCHORS), i)), lambda i: i.isNotNull())
@@ -99,26 +117,34 @@ def units(files: DataFrame) -> DataFrame:
     run = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(back).alias("back"), F.lit(size).alias("size")) for n, (back, size) in enumerate(runs)])).alias("run")
     told = anchored.select("path", "i", "own", "near", run).filter("run.back <= own and own - run.back + run.size <= size(near)")
     line = told.select("path", (F.col("i").cast("bigint") * len(runs) + F.col("run.n")).alias("unit"), F.array_join(F.slice("near", F.col("own") - F.col("run.back") + 1, F.col("run.size")), " ").alias("text"))
-    whole = files.filter(F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(LICENSE_FILE) & F.col("text").isNotNull()).select("path", F.lit(-1).cast("bigint").alias("unit"), "text")
+    opening = F.regexp_extract("text", rf"(?s)^\s*((?:\S+\s*){{1,{OPENING}}})", 1)
+    whole = files.filter(F.col("text").rlike(ANCHORS)).select("path", F.inline(F.array(F.struct(F.lit(-1).cast("bigint").alias("unit"), F.col("text").alias("text")), F.struct(F.lit(-2).cast("bigint").alias("unit"), opening.alias("text")))))
     return line.unionByName(whole)
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score) of the files with a license of their own; score to six places."""
-    weights = cut(idf(files))  # a row for each term of the templates
-    other = F.broadcast(weights.filter("term is null").select(F.col("idf").alias("unseen")))
-    templates = values(files.sparkSession, template_terms(), "template, license, term, times")
-    weighed = templates.join(F.broadcast(weights), "term").withColumn("w", F.col("times") * F.col("idf"))
+    """(path, license, score, whole, whole_license) of the files with a license of their own; score to six places.
+
+    whole, whole_license: the score and license of the whole text alone, where that has one.
+    """
+    counts, total = idf(files)
+    each = units(files).select("path", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("times"))
+    own = values(files.sparkSession, template_terms(), "template, license, term, times")  # a fixed table
+    # one look at the counts: for the units' terms and the templates'
+    wanted = each.select("path", "unit", "term", "times", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license"))
+    wanted = wanted.unionByName(own.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("unit"), "term", F.col("times").cast("bigint").alias("times"), "template", "license"))
+    valued = cut(wanted.join(counts, "term", "left").withColumn("w", F.col("times") * weight(total)).drop("n", "times"))
+    weighed = valued.filter("template is not null")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
     weighed = weighed.select("template", "license", "term", (F.col("w") / norm).alias("tw"))
 
-    each = units(files).select("path", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("times"))
-    valued = each.join(F.broadcast(weights), "term", "left").join(other).withColumn("w", F.col("times") * F.coalesce("idf", "unseen"))
+    valued = valued.filter("template is null").select("path", "unit", "term", "w")
     length = valued.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dot = valued.join(F.broadcast(weighed), "term").groupBy("path", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dot.join(length, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
-    first = F.min(F.struct((-F.col("score")).alias("down"), "license")).alias("best")
-    return scored.groupBy("path").agg(first).select("path", F.col("best.license").alias("license"), (-F.col("best.down")).alias("score"))
+    rank = F.struct((-F.col("score")).alias("down"), "license")
+    best = scored.groupBy("path").agg(F.min(rank).alias("best"), F.min(F.when(F.col("unit") == -1, rank)).alias("whole"))
+    return best.select("path", F.col("best.license").alias("license"), (-F.col("best.down")).alias("score"), (-F.col("whole.down")).alias("whole"), F.col("whole.license").alias("whole_license"))
 
 
 def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
@@ -141,27 +167,24 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = files.select("path", "text")
     own = cut(own_licenses(rows.filter("path is not null"), threshold))
-    named = own.filter(F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(LICENSE_FILE))
-    best = F.min(F.struct((-F.col("score")).alias("down"), "license")).alias("best")
-    licensed = named.groupBy(parent(F.col("path")).alias("dir")).agg(best).select("dir", F.col("best.license").alias("license"))
+    by_name = F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(LICENSE_FILE)
+    told = F.when(by_name, F.struct((-F.col("score")).alias("down"), "license")).otherwise(F.struct((-F.col("whole")).alias("down"), F.col("whole_license").alias("license")))
+    licensed = own.filter(by_name | F.col("whole").isNotNull()).groupBy(parent(F.col("path")).alias("dir")).agg(F.min(told).alias("best")).select("dir", F.col("best.license").alias("license"))
+    own = own.select("path", "license", "score")
     joined = rows.select("path").join(own, "path", "left").withColumn("dir", parent(F.col("path")))
-    from_above = inherited(joined.filter("license is null and path is not null").select("dir").distinct(), licensed)
+    from_above = cut(inherited(joined.filter("license is null and path is not null").select("dir").distinct(), licensed))
+    if from_above.count() <= FEW:
+        from_above = F.broadcast(from_above)
     out = joined.join(from_above.select("dir", F.col("license").alias("above"), "from_dir"), "dir", "left")
     alone = F.col("license").isNull()
     return out.select("path", F.coalesce("license", "above").alias("license"), "score", F.when(alone, F.col("from_dir")).alias("inherited_from"))
 
 
 def paths(documents: DataFrame) -> DataFrame:
-    """(path, text, doc_id): documents as files ``source/lang/doc_id``.
-
-    A document of at most 12 words with an anchor is nothing but a notice and stands as the
-    license file ``LICENSE.<doc_id>`` of its directory.
-    """
-    from millrace.llm.common import word_count
-
-    notice = F.coalesce(F.col("text").rlike(ANCHORS), F.lit(False)) & (word_count(F.col("text")) <= 12)
-    name = F.concat(F.when(notice, F.lit("LICENSE.")).otherwise(F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return documents.select(F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), name).alias("path"), "text", "doc_id")
+    """(path, text, doc_id): documents as files ``source/lang/doc_id``; those without source or lang stand in ``?``, which no name is."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    folder = [F.coalesce(F.replace(F.replace(c, F.lit("?"), F.lit("??")), F.lit("/"), F.lit("?_")), F.lit("?")) for c in ("source", "lang")]
+    return documents.select(F.concat_ws("/", *folder, name).alias("path"), "text", "doc_id")
 
 
 def scan_documents(documents: DataFrame) -> DataFrame:

@@ -24,20 +24,28 @@ def plain_terms(text):
     return [t for t in re.split(r"[\W_]+", text.lower()) if t]
 
 
+def plain_units(text):
+    """Runs of lines with an anchor, and for a text with an anchor all of it and its opening."""
+    split = (text or "").split("\n")
+    at = [i for i, x in enumerate(split) if re.search(licenses.ANCHORS, x)]
+    if not at:
+        return []
+    runs = {(a, b) for i in at for a in range(max(0, i - licenses.WINDOW + 1), i + 1) for b in range(i, min(len(split), a + licenses.WINDOW))}
+    return [" ".join(split[a : b + 1]) for a, b in runs] + [text, " ".join(text.split()[: licenses.OPENING])]
+
+
 def plain_own(rows):
     rows = [(p, t) for p, t in rows if p is not None]
-    vocabulary = {t for _, text in licenses.TEMPLATES for t in plain_terms(text)}
-    df = Counter(t for _, text in rows for t in set(plain_terms(text or "")) & vocabulary)
+    df = Counter(t for _, text in rows for t in set(plain_terms(text or "")))
     idf = lambda t: math.log((1 + len(rows)) / (1 + df.get(t, 0))) + 1
+    made = [(name, Counter(plain_terms(text))) for name, text in licenses.templates()]
     out = {}
     for path, text in rows:
-        units = [x for x in (text or "").split("\n") if re.search(licenses.ANCHORS, x)]
-        units += [text] if text is not None and re.match(licenses.LICENSE_FILE, path.split("/")[-1]) else []
         best = []
-        for u in units:
+        for u in plain_units(text):
             w = {t: n * idf(t) for t, n in Counter(plain_terms(u)).items()}
-            for name, template in licenses.TEMPLATES:
-                tw = {t: n * idf(t) for t, n in Counter(plain_terms(template)).items()}
+            for name, counts in made:
+                tw = {t: n * idf(t) for t, n in counts.items()}
                 cos = sum(w.get(t, 0) * x for t, x in tw.items()) / math.sqrt(sum(x * x for x in w.values()) or 1) / math.sqrt(sum(x * x for x in tw.values()))
                 if round(cos, 6) >= licenses.THRESHOLD:
                     best.append((-round(cos, 6), name))
@@ -75,7 +83,21 @@ def test_every_template_has_an_anchor():
     assert all(re.search(licenses.ANCHORS, text) for _, text in licenses.TEMPLATES)
 
 
+def test_whole_texts(spark):
+    """Each license's text, under the name of a license file or any other, and the opening lines of the long ones."""
+    rows, want = [(f"plain/{i}.txt", "nothing of that kind here") for i in range(40)], {}
+    for file in sorted(licenses.TEXTS.glob("*.txt")):
+        text = file.read_text()
+        for path, body in ((f"{file.stem}/LICENSE", text), (f"other/{file.stem}.c", text), (f"short/{file.stem}/COPYING", "\n".join(text.split("\n")[:12]) if len(text) > 5000 else text)):
+            rows.append((path, body))
+            want[path] = file.stem
+    got = {r[0]: (r[1], r[3]) for r in rows_of(licenses.own_licenses(table(spark, rows).select("path", "text")))}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC"} <= set(want.values())
+    assert {p: got.get(p, (None,))[0] for p in want} == want
+    assert all(got[p][1] is not None for p in want if not p.startswith("short/")) and not any(p.startswith("plain") for p in got)
+
+
 def test_documents(spark):
-    rows = [(1, "Released under the MIT License.", "en", "s", 1), (2, "some text", "en", "s", 1), (3, "more", None, None, 1), (4, None, "en", "s", None)]
+    rows = [(1, "Released under the MIT License.", "en", "s", 1), (2, "some text", "en", "s", 1), (3, "more", None, None, 1), (4, None, "en", "s", None), (5, "x", "?", "?", 1), (6, "Released under the MIT License", None, None, 1)]
     got = {r[0]: r[2:] for r in rows_of(licenses.scan_documents(frame(spark, rows, clash=True)))}
-    assert got == {1: ("MIT", 1.0, None), 2: ("MIT", None, "s/en"), 3: (None, None, None), 4: ("MIT", None, "s/en")}
+    assert got == {1: ("MIT", 1.0, None), 2: ("MIT", None, "s/en"), 3: ("MIT", None, "?/?"), 4: ("MIT", None, "s/en"), 5: (None, None, None), 6: ("MIT", 1.0, None)}
