@@ -57,6 +57,8 @@ WINDOW = 8
 OPENING = 100
 #: Rows of a small side that are broadcast at most.
 FEW = 100_000
+#: Weights of terms that are broadcast at most: some 20 MB.
+TERMS = 300_000
 TEXTS = Path(__file__).with_name("license_texts")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
@@ -128,17 +130,18 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     whole, whole_license: the score and license of the whole text alone, where that has one.
     """
     counts, total = idf(files)
-    each = units(files).select("path", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("times"))
+    raw = units(files).select("path", "unit", F.explode(terms(F.col("text"))).alias("term"))
+    # dealt by unit once: counts, norms and dot products of a unit need no further shuffle
+    each = raw.repartition("path", "unit").groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("times"))
     own = values(files.sparkSession, template_terms(), "template, license, term, times")  # a fixed table
-    # one look at the counts: for the units' terms and the templates'
-    wanted = each.select("path", "unit", "term", "times", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license"))
-    wanted = wanted.unionByName(own.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("unit"), "term", F.col("times").cast("bigint").alias("times"), "template", "license"))
-    valued = cut(wanted.join(counts, "term", "left").withColumn("w", F.col("times") * weight(total)).drop("n", "times"))
-    weighed = valued.filter("template is not null")
+    wanted = units(files).select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).unionByName(own.select("term")).distinct()
+    weights = cut(wanted.join(counts, "term", "left").select("term", weight(total).alias("idf")))
+    weighed = own.join(weights, "term").withColumn("w", F.col("times") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
     weighed = weighed.select("template", "license", "term", (F.col("w") / norm).alias("tw"))
 
-    valued = valued.filter("template is null").select("path", "unit", "term", "w")
+    small = weights.count() <= TERMS
+    valued = each.join(F.broadcast(weights) if small else weights, "term").select("path", "unit", "term", (F.col("times") * F.col("idf")).alias("w"))
     length = valued.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dot = valued.join(F.broadcast(weighed), "term").groupBy("path", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dot.join(length, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
