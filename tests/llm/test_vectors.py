@@ -110,6 +110,34 @@ def test_whole_tree_is_exact(spark):
     assert max(abs(a[3] - b[3]) for a, b in zip(got, want, strict=True)) < 1e-9
 
 
+@pytest.mark.parametrize("cell_rows", [30, 10**6])
+def test_dealt_queries_are_exact_and_find_what_broadcast_ones_do(spark, monkeypatch, cell_rows):
+    """More queries than a block: leaves shared by a cell, split over cells, and a third of all rows alike."""
+    monkeypatch.setattr(vectors, "STEP", 64)
+    monkeypatch.setattr(ann, "CELL_BYTES", 8 * 16 * cell_rows)
+    rows = vectors_of(900) + ODD
+    whole_tree = sorted(rows_of(ann.search(table(spark, rows), visits=10**6, block=4)))
+    want = brute(rows, 20, 20, lambda v: whole(v) and any(v), dot)
+    assert [r[:3] for r in whole_tree] == [r[:3] for r in want]
+    some = [sorted(rows_of(ann.search(table(spark, rows), visits=5, block=b))) for b in (4, 4096)]
+    assert some[0] == some[1]
+
+
+def test_cells_hold_every_leaf_and_are_bounded():
+    sizes = np.array([3, 4, 0, 25, 2, 10, 1, 9, 10, 0])
+    told = ann.cells(sizes, 10)
+    assert told == [(0, 1), (0, 1), (0, 1), (1, 3), (4, 1), (5, 1), (6, 1), (6, 1), (7, 1), (7, 1)]
+
+
+def test_a_larger_table_has_a_deeper_tree(spark, monkeypatch):
+    monkeypatch.setattr(ann, "DEEPER", 2)
+    monkeypatch.setattr(ann, "SAMPLE", 600)
+    rows = vectors_of(3000, 8)
+    got, want = rows_of(ann.search(table(spark, rows))), brute(rows, 20, 20, whole, dot)
+    assert len(got) == len(want)
+    assert len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in want}) >= 0.9 * len(want)
+
+
 def test_recall(spark):
     rows = vectors_of(3000, 24)
     got = rows_of(ann.search(table(spark, rows)))
