@@ -6,8 +6,11 @@ the runs of up to WINDOW adjacent lines with an anchor (joined; a term split dro
 marks), so that a wrapped header is met whole, the whole text, and its first OPENING words. A run
 without an anchor is not compared. A term's document frequency is counted over all files. Dot
 products come from joining a unit's terms with the templates' (a fixed, small table), so
-terms that no template has cost nothing but their part of the norm. A file's license is the
-template of highest cosine if that reaches THRESHOLD.
+terms that no template has cost nothing but their part of the norm. The weights of the TERMS most
+frequent terms are broadcast; the others' are known to be at least that of the least frequent
+of these, which bounds a unit's cosine from above. Units whose bound reaches the threshold, and
+no others, are joined with the other terms' counts, so every score is exact. A file's
+license is the template of highest cosine if that reaches THRESHOLD.
 
 A license file is one that has the name of one, or whose whole text is one. A directory's
 license is that of the license files in it (highest cosine, then name). A file without a
@@ -17,13 +20,14 @@ distinct directory is joined with its ancestors' paths, and the deepest wins.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, release
 
 THRESHOLD = 0.6
 #: Notices of common licenses, one unit a line.
@@ -57,8 +61,8 @@ WINDOW = 8
 OPENING = 100
 #: Rows of a small side that are broadcast at most.
 FEW = 100_000
-#: Weights of terms that are broadcast at most: some 20 MB.
-TERMS = 300_000
+#: Terms besides those of templates whose weights are broadcast at most: some 10 MB.
+TERMS = 150_000
 TEXTS = Path(__file__).with_name("license_texts")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
@@ -129,25 +133,63 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     whole, whole_license: the score and license of the whole text alone, where that has one.
     """
+    spark = files.sparkSession
     counts, total = idf(files)
+    counts = cut(counts)
+    least = _least(counts)
+    listed = cut(_listed(spark, counts, total, least))
     raw = units(files).select("path", "unit", F.explode(terms(F.col("text"))).alias("term"))
-    # dealt by unit once: counts, norms and dot products of a unit need no further shuffle
+    # dealt by unit once: what is summed over a unit needs no further shuffle
     each = raw.repartition("path", "unit").groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("times"))
-    own = values(files.sparkSession, template_terms(), "template, license, term, times")  # a fixed table
-    wanted = units(files).select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).unionByName(own.select("term")).distinct()
-    weights = cut(wanted.join(counts, "term", "left").select("term", weight(total).alias("idf")))
-    weighed = own.join(weights, "term").withColumn("w", F.col("times") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    weighed = weighed.select("template", "license", "term", (F.col("w") / norm).alias("tw"))
-
-    small = weights.count() <= TERMS
-    valued = each.join(F.broadcast(weights) if small else weights, "term").select("path", "unit", "term", (F.col("times") * F.col("idf")).alias("w"))
-    length = valued.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dot = valued.join(F.broadcast(weighed), "term").groupBy("path", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dot.join(length, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
+    w = F.col("times") * F.col("idf")
+    known = F.struct(F.lit(-1).alias("template"), F.lit("").alias("name"), (w * w).alias("value"))
+    rare = F.struct(F.lit(-2).alias("template"), F.col("term").alias("name"), (F.col("times") * F.col("times")).cast("double").alias("value"))
+    shared = F.transform("tws", lambda t: F.struct(t["template"].alias("template"), t["license"].alias("name"), (w * t["tw"]).alias("value")))
+    parts = F.when(F.col("idf").isNull(), F.array(rare)).when(F.col("tws").isNull(), F.array(known)).otherwise(F.concat(F.array(known), shared))
+    sums = each.join(F.broadcast(listed), "term", "left").select("path", "unit", F.inline(parts)).groupBy("path", "unit", "template", "name").agg(F.sum("value").alias("value"))
+    unit = sums.groupBy("path", "unit").agg(
+        F.coalesce(F.sum(F.when(F.col("template") == -1, F.col("value"))), F.lit(0.0)).alias("known"),
+        F.coalesce(F.sum(F.when(F.col("template") == -2, F.col("value"))), F.lit(0.0)).alias("unlisted"),
+        F.collect_list(F.when(F.col("template") == -2, F.struct(F.col("name").alias("term"), "value"))).alias("rare"),
+        F.collect_list(F.when(F.col("template") >= 0, F.struct(F.col("name").alias("license"), F.col("value").alias("dot")))).alias("dots"),
+    )
+    lowest = math.log((1.0 + total) / least) + 1.0  # an unlisted term is in fewer than ``least`` files
+    shortest = F.sqrt(F.col("known") + F.col("unlisted") * (lowest * lowest))
+    kept = cut(unit.filter(F.exists("dots", lambda d: d["dot"] >= (threshold - 1e-6) * shortest)))
+    again = kept.select("path", "unit", F.inline("rare")).join(counts, "term").withColumn("idf", weight(total))
+    more = again.groupBy("path", "unit").agg(F.sum(F.col("value") * F.col("idf") * F.col("idf")).alias("more"))
+    length = F.sqrt(F.col("known") + F.coalesce("more", F.lit(0.0)))
+    exact = kept.drop("rare").join(more, ["path", "unit"], "left").select("path", "unit", length.alias("length"), F.inline("dots"))
+    scored = exact.withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
     rank = F.struct((-F.col("score")).alias("down"), "license")
     best = scored.groupBy("path").agg(F.min(rank).alias("best"), F.min(F.when(F.col("unit") == -1, rank)).alias("whole"))
-    return best.select("path", F.col("best.license").alias("license"), (-F.col("best.down")).alias("score"), (-F.col("whole.down")).alias("whole"), F.col("whole.license").alias("whole_license"))
+    told = best.select("path", F.col("best.license").alias("license"), (-F.col("best.down")).alias("score"), (-F.col("whole.down")).alias("whole"), F.col("whole.license").alias("whole_license"))
+    told = cut(told)
+    release(counts, listed, kept)
+    return told
+
+
+def _least(counts: DataFrame) -> int:
+    """The power of two so that at most TERMS terms are in as many files; 1 if all terms are TERMS at most."""
+    by_bits = dict(counts.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("terms")).collect())  # 63 rows at most
+    held = 0
+    for bits in sorted(by_bits, reverse=True):
+        held += by_bits[bits]
+        if held > TERMS:
+            return 1 << bits
+    return 1
+
+
+def _listed(spark: SparkSession, counts: DataFrame, total: int, least: int) -> DataFrame:
+    """(term, idf, tws) of every term of a template or of ``least`` files; tws: its weights in the templates, of unit length."""
+    own = values(spark, template_terms(), "template, license, term, times")  # a fixed table
+    met = counts.join(F.broadcast(own.select("term").distinct()), "term")
+    weighed = own.join(F.broadcast(met), "term", "left").withColumn("idf", weight(total)).withColumn("w", F.col("times") * F.col("idf"))
+    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = weighed.join(F.broadcast(norms), "template").withColumn("tw", F.col("w") / F.col("norm"))
+    taught = unit.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "tw")).alias("tws"))
+    others = counts.filter(F.col("n") >= least).join(F.broadcast(own.select("term").distinct()), "term", "left_anti")
+    return taught.unionByName(others.select("term", weight(total).alias("idf")), allowMissingColumns=True)
 
 
 def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
@@ -169,7 +211,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     an empty result.
     """
     rows = files.select("path", "text")
-    own = cut(own_licenses(rows.filter("path is not null"), threshold))
+    own = own_licenses(rows.filter("path is not null"), threshold)
     by_name = F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(LICENSE_FILE)
     told = F.when(by_name, F.struct((-F.col("score")).alias("down"), "license")).otherwise(F.struct((-F.col("whole")).alias("down"), F.col("whole_license").alias("license")))
     licensed = own.filter(by_name | F.col("whole").isNotNull()).groupBy(parent(F.col("path")).alias("dir")).agg(F.min(told).alias("best")).select("dir", F.col("best.license").alias("license"))

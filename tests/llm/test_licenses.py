@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import licenses
@@ -54,7 +55,10 @@ def plain_own(rows):
     return {p: (name, -s) for p, (s, name) in out.items()}
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("few", [licenses.TERMS, 60, 0])
+def test_brute_force(spark, monkeypatch, few):
+    """The same scores whether all terms' weights are broadcast, some, or those of templates alone."""
+    monkeypatch.setattr(licenses, "TERMS", few)
     rows = FILES + [(f"d/{r[0]}", r[1]) for r in documents(40)]
     got = {r[0]: (r[1], r[2]) for r in rows_of(licenses.own_licenses(table(spark, rows).filter("path is not null").select("path", "text")))}
     want = plain_own(rows)
