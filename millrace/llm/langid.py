@@ -281,11 +281,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def lowest(ids: DataFrame, n: int) -> DataFrame:
+    """The rows (doc_id, lang) among which are each language's ``n`` of the smallest hash; about twice as many, however many there are.
+
+    Counted by how often the range of hashes must be halved to leave a hash out.
+    """
+    share = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    halved = ids.withColumn("level", F.least(F.coalesce(F.floor(-F.log2(share)), F.lit(63)), F.lit(63)).cast("int"))
+    counted = halved.groupBy("lang", "level").agg(F.count(F.lit(1)).alias("rows"))
+    downward = Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = counted.withColumn("all", F.sum("rows").over(downward))
+    least = enough.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("all") >= n, F.col("level"))), F.lit(0)).alias("least"))
+    # a row a language
+    return halved.join(F.broadcast(least), "lang").filter("level >= least").select("doc_id", "lang")
+
+
 def train(labelled: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fits on documents (doc_id, text, lang); rows without text or lang teach nothing."""
     usable = labelled.filter("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs)
+    chosen = lowest(usable.select("doc_id", "lang"), sample_docs).withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample_docs)
     # at most sample_docs rows a language
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     counts: dict[str, dict[str, int]] = {}

@@ -104,6 +104,18 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert got[344][1] == "en"
 
 
+def test_lowest_keeps_the_smallest_hashes(spark):
+    """What a full sort would choose is among the rows, which are few."""
+    ids = spark.range(20_000).select(F.col("id").cast("string").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 300 == 0, "rare").otherwise("other").alias("lang"))
+    kept = rows_of(langid.lowest(ids, 100).withColumn("h", F.xxhash64("doc_id")))
+    every = rows_of(ids.withColumn("h", F.xxhash64("doc_id")))
+    for lang in ("hot", "rare", "other"):
+        smallest = sorted((h, d) for d, g, h in every if g == lang)[:100]
+        own = sorted((h, d) for d, g, h in kept if g == lang)
+        assert own[:100] == smallest and len(own) < 400
+    assert rows_of(langid.lowest(ids.limit(0), 100)) == []
+
+
 def test_lang_and_source_are_no_inputs(spark):
     rows = documents(60)
     model = langid.train(frame(spark, rows))
