@@ -27,6 +27,8 @@ CAP = 2
 WEIGHTS = (5, 2, 1)
 SEED = 42
 SHARD_ROWS = 20_000
+#: A source with over 1 / LARGE of all rows is broadcast to them.
+LARGE = 50_000
 #: A block is this many words at most; it is smaller where the smallest target has under MIN_BLOCKS of them.
 BLOCK = 256
 MIN_BLOCKS = 64
@@ -95,6 +97,24 @@ def sainte_lague(rows: DataFrame, group: list[str], key: list[str], weight: str,
     return out.select(*rows.columns, "quota")
 
 
+def with_source(sized: DataFrame, sources: DataFrame, large: int = LARGE) -> DataFrame:
+    """The rows (source, ...) with the columns of their source (source, rows, ...) but ``rows``.
+
+    Sources with over 1 / ``large`` of all rows, of which there are less than ``large``, are
+    broadcast, so that none of their rows is shuffled; the others are joined by a shuffle in
+    which no source has more than that share.
+    """
+    side = sources.withColumnRenamed("source", "s")
+    total = sources.agg(F.sum("rows")).first()[0] or 0
+    big = F.col("rows") * large > total
+    few = side.filter(big).drop("rows").withColumn("large", F.lit(True))
+    met = sized.join(F.broadcast(few), sized.source.eqNullSafe(few.s), "left")
+    rest = met.filter("large is null").select(*sized.columns)
+    many = side.filter(~big).drop("rows")
+    joined = rest.join(many, rest.source.eqNullSafe(many.s)).drop("s")
+    return met.filter("large").drop("s", "large").unionByName(joined)
+
+
 def shuffled(seed: int) -> list[Column]:
     """Order of documents within a shard; ties (repeated rows) by size, which is all that matters then."""
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), F.col("doc_id"), F.col("size"), F.col("row")]
@@ -115,11 +135,9 @@ def mix(docs: DataFrame, seed: int = SEED, shard_rows: int = SHARD_ROWS, row: Co
     block = int(max(1, min(BLOCK, (low or 0) / MIN_BLOCKS)))
     seats = int(round((whole or 0) / block))
     quotas = sainte_lague(sources.withColumn("seats", F.lit(seats).cast("bigint")), [], ["source"], "target", "seats")
-    quotas = quotas.withColumn("shards", F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")).drop("seats", "weight", "rows")
+    quotas = quotas.withColumn("shards", F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")).drop("seats", "weight")
 
-    # a source may hold most rows: a plain join, whose large partitions Spark can split
-    side = quotas.withColumnsRenamed({"source": "s", "quota": "source_quota"})
-    placed = sized.join(side, sized.source.eqNullSafe(side.s)).drop("s")
+    placed = with_source(sized, quotas.withColumnsRenamed({"quota": "source_quota"}))
     placed = placed.withColumn("shard", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.col("shards")).cast("int"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_quota")

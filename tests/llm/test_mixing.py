@@ -70,11 +70,20 @@ def test_quotas(spark, weights, seats):
         quota = dict(got)
         want = plain_sainte_lague({k: w for k, w, _ in rows}, seats)
         assert sum(quota.values()) == seats
-        # equal quotients may be dealt either way: the worst quotient taken must not be below the best one left
-        taken = [w / (2 * quota[k] - 1) for k, w, _ in rows if quota[k]]
-        left = [w / (2 * quota[k] + 1) for k, w, _ in rows if w]
-        assert not taken or min(taken) >= max(left) - 1e-9
-        assert sorted(want.values())[-1] >= 0
+        assert quota == want
+
+
+def test_sources_are_met_either_way(spark):
+    """Broadcast or shuffled, a row has its source's columns; a null source is a source."""
+    rows = [(i, s) for i, s in enumerate(["a"] * 9 + [None] * 4 + ["b"] * 2 + ["c"])]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string")
+    sources = spark.createDataFrame([("a", 9, 1.0), (None, 4, 2.0), ("b", 2, 3.0), ("c", 1, 4.0)], "source string, rows bigint, target double")
+    want = sorted((i, s, {"a": 1.0, None: 2.0, "b": 3.0, "c": 4.0}[s]) for i, s in rows)
+    for large in (1, 2, 5, 50_000):
+        out = mixing.with_source(sized, sources, large)
+        assert out.columns == ["doc_id", "source", "target"]
+        assert sorted(rows_of(out)) == want
+    assert rows_of(mixing.with_source(sized.limit(0), sources.limit(0))) == []
 
 
 def test_nulls_repeats_empty(spark):
