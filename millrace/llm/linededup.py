@@ -9,14 +9,17 @@
    that agree in a band meet in a bucket.
 4. Pairs are verified by the exact Jaccard similarity of their sets of shingles (each shingle
    as 64 bits of hash: two lines of n shingles are misjudged with a chance of n * n / 2**64).
-   Pairs whose sets' sizes rule the similarity out are not formed. The links found so far make
-   components, and only pairs across components are formed: first each line with the least of
-   all its buckets' lines, then the HEADS first lines of a bucket with all of it.
-5. Of each bucket that then holds lines of several components all pairs across components are
-   tried, by pairs of chunks of CHUNK lines, so no task has all pairs of a bucket. Within that
-   join a bitmap filter rules pairs out: a set's bitmap of WORDS * 64 bits has the parity of
-   the shingles that fall on each bit, so sets whose bitmaps differ in d bits differ in at least
-   d shingles. What it leaves is verified like the rest; no similar pair is lost to it.
+   Before that a bitmap filter rules pairs out: a set's bitmap of WORDS * 64 bits has the parity
+   of the shingles that fall on each bit, so sets whose bitmaps differ in d bits differ in at
+   least d shingles. No similar pair is lost to it. The links found so far make components, and
+   only pairs across components are compared: first each line with the least of all its
+   buckets' lines, then, as long as a bucket holds several components, the HEADS first lines
+   of it with all others, then the next ones up to WIDER times as many, until all pairs
+   across components were tried. So a group of similar lines is one component before the many
+   pairs within it would be formed.
+5. A bucket's pairs are formed by pairs of chunks of CHUNK lines, so no task has all of them.
+   Two lines are compared in one of their buckets only, and within the join, which returns
+   links and no candidates.
 6. The verified pairs' connected components are found, and of each component the first line
    (smallest doc_id, then place) stays.
 
@@ -44,8 +47,10 @@ SIMILARITY = 0.8
 SIDE = 4
 #: Shingles hashed for one row of the aggregation.
 STRIDE = 4
-#: Lines of a bucket that are compared with all others before any other pair of it.
+#: Lines of a bucket that are compared with all others in the first round.
 HEADS = 4
+#: How many times as many lines of a bucket are compared with its others in the next round.
+WIDER = 32
 #: Words of 64 bits of a set's bitmap.
 WORDS = 16
 #: Lines of a bucket whose pairs with as many others are formed under one key.
@@ -54,8 +59,9 @@ CHUNK = 1024
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, place, line): what is between line ends; a null text has none."""
-    split = F.posexplode(F.split(F.col("text").cast("string"), "\n"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null").select("doc_id", split.alias("place", "line"))
+    # no array here is empty; the outer form keeps Spark from splitting once more for a filter on its size
+    split = F.posexplode_outer(F.split(F.col("text").cast("string"), "\n"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null").select("doc_id", split.alias("place", "line"))
 
 
 def blank(line: Column) -> Column:
@@ -86,8 +92,15 @@ def signatures(named: DataFrame, shingle: int) -> DataFrame:
     told = told.select("id", "more", "raw", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRIDE))).alias("at"))
     # beyond the end the last shingle is taken again, which changes no minimum
     hashed = [F.hash(F.substring("raw", F.least(F.col("at") + j, F.col("n")) * 4 - 3, F.lit(4 * shingle))).alias(f"s{j}") for j in range(STRIDE)]
-    least = [F.min(F.least(*[F.col(f"s{j}").bitwiseXOR(F.lit(mask(i))) for j in range(STRIDE)])).alias(f"h{i}") for i in range(SIDE * SIDE)]
-    return told.select("id", "more", *hashed).groupBy("id", "more").agg(*least)
+    # minima of pairs, then of these: comparisons without branches, each made once
+    of = [[F.col(f"s{j}").bitwiseXOR(F.lit(mask(i))) for j in range(STRIDE)] for i in range(SIDE * SIDE)]
+    halves = told.select("id", "more", *hashed).select("id", "more", *[lesser(of[i][j], of[i][j + 1]).alias(f"p{i}_{j}") for i in range(SIDE * SIDE) for j in (0, 2)])
+    return halves.groupBy("id", "more").agg(*[F.min(lesser(F.col(f"p{i}_0"), F.col(f"p{i}_2"))).alias(f"h{i}") for i in range(SIDE * SIDE)])
+
+
+def lesser(a: Column, b: Column) -> Column:
+    """The lesser of two numbers that are not null."""
+    return F.call_function("if", a < b, a, b)
 
 
 def bands() -> list[list[int]]:
@@ -107,14 +120,20 @@ def mask(i: int) -> int:
 def met(signed: DataFrame) -> DataFrame:
     """(key, id, place): the rows (id, h0, h1, ...) of each bucket with several, but the first, numbered from 2; and its least ``lead``.
 
-    The leader is the first row of a running window, so a bucket is streamed, not held. The
-    order is the same in all buckets, so lines that share several share a leader.
+    Most buckets hold one row. Those with several are counted first, and a bitmap keeps most
+    other rows from the shuffle. The leader is the first row of a running window, so a bucket
+    is streamed, not held. The order is the same in all buckets, so lines that share several
+    share a leader.
     """
     keys = [F.xxhash64(F.lit(n), *[f"h{i}" for i in band]) for n, band in enumerate(bands())]
-    rows = signed.select("id", F.explode(F.array(*keys)).alias("key"))
+    key = F.explode(F.array(*keys)).alias("key")
+    several = cut(signed.select(key).repartition("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    rows = signed.select("id", key).filter(maybe_in(F.col("key"), several, "key"))
     order = Window.partitionBy("key").orderBy("id")
     own = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("key", F.first("id").over(own).alias("lead"), "id", F.row_number().over(order).alias("place")).filter("place > 1")
+    found = cut(rows.select("key", F.first("id").over(own).alias("lead"), "id", F.row_number().over(order).alias("place")).filter("place > 1"))
+    release(several)
+    return found
 
 
 def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,22 +145,53 @@ def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(one.select(F.monotonically_increasing_id().alias("node"), "id", "more", "line"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b) and whether it is ``ok``, their texts being similar enough, for the distinct pairs of nodes (a, b)."""
-    left = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-    met = pairs.join(left, "a").join(right, "b")
-    # inline() keeps the sets from being made again for each use
-    sets = met.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("line_a"), shingle).alias("sa"), shingles(F.col("line_b"), shingle).alias("sb")))))
-    both = sets.select("a", "b", F.size(F.array_union("sa", "sb")).alias("all"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return both.select("a", "b", (F.col("both") >= threshold * F.col("all")).alias("ok"))
+def described(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, size, w0, w1, ...) of each text (node, line): how many distinct shingles it has, and on each of WORDS * 64 bits the parity of those that fall there."""
+    # the outer form, as in lines(); the lambda stays out of the generator, which is compiled then
+    sets = texts.select("node", F.array_distinct(shingles(F.col("line"), shingle)).alias("hs"))
+    each = sets.select("node", F.explode_outer("hs").alias("h"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    told = each.select("node", F.shiftrightunsigned(word, 2).alias("four"), word.bitwiseAND(F.lit(3)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    zero = F.lit(0).cast("bigint")
+    # four words a row first, so that a shingle touches four columns and not all
+    fours = told.groupBy("node", "four").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.call_function("if", F.col("w") == i, F.col("bit"), zero)).alias(f"v{i}") for i in range(4)])
+    maps = [F.bit_xor(F.call_function("if", F.col("four") == i // 4, F.col(f"v{i % 4}"), zero)).alias(f"w{i}") for i in range(WORDS)]
+    return fours.groupBy("node").agg(F.sum("n").cast("int").alias("size"), *maps)
+
+
+def may_be_similar(threshold: float) -> Column:
+    """False only for pairs of sets (size, w0, ...; size_, w0_, ...) whose similarity is below.
+
+    Sets of m and n shingles of Jaccard similarity t differ in (m + n) * (1 - t) / (1 + t) of them.
+    """
+    size, size_ = F.col("size"), F.col("size_")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_"))) for i in range(WORDS)])
+    return (F.least(size, size_) >= threshold * F.greatest(size, size_)) & (apart * (1 + threshold) <= (size + size_) * (1 - threshold) + 1e-6)
+
+
+def are_similar(shingle: int, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two lines (line, size; line_, size_) reaches the threshold."""
+    both = F.size(F.array_intersect(shingles(F.col("line"), shingle), shingles(F.col("line_"), shingle)))
+    # inline as a variable: the intersection is made once
+    return F.transform(F.array(both), lambda n: n >= threshold * (F.col("size") + F.col("size_") - n))[0]
+
+
+def other(rows: DataFrame) -> DataFrame:
+    """The same rows as the second of a pair."""
+    return rows.withColumnsRenamed({c: f"{c}_" for c in rows.columns})
+
+
+def similar(pairs: DataFrame, about: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Those of the distinct pairs of nodes (a, b) whose texts are similar enough."""
+    met = pairs.join(about, F.col("a") == F.col("node")).join(other(about), F.col("b") == F.col("node_"))
+    return met.filter(may_be_similar(threshold) & are_similar(shingle, threshold)).select("a", "b")
 
 
 def in_buckets(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, size, place, n): all rows of the buckets of met(), the leaders included, by the nodes (id, node, size)."""
+    """(key, node, place, n): all rows of the buckets of met(), the leaders included, by the nodes (id, node)."""
     whole = buckets.select("key", "id", "place").unionByName(buckets.filter("place = 2").select("key", F.col("lead").alias("id"), F.lit(1).alias("place")))
     n = buckets.groupBy("key").agg(F.max("place").alias("n"))
-    return cut(whole.join(nodes, "id").join(n, "key").select("key", "node", "size", "place", "n"))
+    return cut(whole.join(nodes, "id").join(n, "key").select("key", "node", "place", "n"))
 
 
 def mixed(rows: DataFrame, tied: DataFrame) -> DataFrame:
@@ -151,66 +201,53 @@ def mixed(rows: DataFrame, tied: DataFrame) -> DataFrame:
     return owned.join(several, "key")
 
 
-def bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, w0, w1, ...): the parity of the distinct shingles of each text (node, line) on each of WORDS * 64 bits."""
-    each = texts.select("node", F.explode(F.array_distinct(shingles(F.col("line"), shingle))).alias("h"))
-    told = each.select("node", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    return told.groupBy("node").agg(*[F.bit_xor(F.when(F.col("w") == i, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
-
+def across(rows: DataFrame, past: int, until: int, shingle: int, threshold: float) -> DataFrame:
+    """Distinct similar pairs of nodes (a, b) in different components: of each bucket the lines in places ``past`` to ``until``, the first left out, with all from there on.
 
-def across(low: DataFrame, high: DataFrame, by: list[str], which: str, threshold: float) -> DataFrame:
-    """Distinct pairs of nodes (a, b) of the rows that agree in ``by``, in different components, of sets that may be similar.
-
-    Sets of m and n shingles of Jaccard similarity t differ in (m + n) * (1 - t) / (1 + t) of them.
+    Chunk i of a bucket's lines meets chunk j. Two lines are compared in the first only of the
+    buckets (``keys``) that they share, and the join returns nothing but similar pairs.
     """
-    right = high.withColumnsRenamed({c: f"{c}_" for c in high.columns})
-    size, size_ = F.col("size"), F.col("size_")
-    fits = (F.col("c") != F.col("c_")) & (F.least(size, size_) >= threshold * F.greatest(size, size_)) & F.expr(which)
-    if "w0" in low.columns:
-        apart = reduce(Column.__add__, [F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_"))) for i in range(WORDS)])
-        fits &= apart * (1 + threshold) <= (size + size_) * (1 - threshold) + 1e-6
-    pairs = low.join(right, [F.col(k) == F.col(f"{k}_") for k in by] + [fits])
+    own = rows.filter(F.col("place") > past).withColumn("own", F.floor(F.col("place") / F.lit(CHUNK)).cast("int"))
+    first, last = F.lit((past + 1) // CHUNK), F.floor(F.col("n") / F.lit(CHUNK)).cast("int")
+    low = own.filter(F.col("place") <= until).withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", last)))
+    high = other(own.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(first, F.least("own", F.lit(until // CHUNK))))))
+    # nodes whose lines share a hash share their place
+    ahead = (F.col("place") < F.col("place_")) | ((F.col("place") == F.col("place_")) & (F.col("node") < F.col("node_")))
+    here = F.array_min(F.array_intersect("keys", "keys_")) == F.col("key")
+    fits = (F.col("c") != F.col("c_")) & ahead & may_be_similar(threshold) & here & are_similar(shingle, threshold)
+    pairs = low.join(high, [F.col(k) == F.col(f"{k}_") for k in ("key", "i", "j")] + [fits])
     return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
-def chunked(rows: DataFrame, threshold: float) -> DataFrame:
-    """across() for all pairs of a bucket: chunk i of its rows meets chunk j."""
-    own = rows.withColumn("own", F.floor(F.col("place") / F.lit(CHUNK)).cast("int")).withColumn("last", F.floor(F.col("n") / F.lit(CHUNK)).cast("int"))
-    low = own.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", "last")))
-    high = own.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    return across(low, high, ["key", "i", "j"], "i < j or node < node_", threshold)
-
-
 def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """(id, more, component) of the distinct lines (doc_id, place, line) that are similar to others."""
-    buckets = cut(met(signatures(every.select(*name(F.col("line")), "line"), shingle)))
+    signed = cut(signatures(every.select(*name(F.col("line")), "line"), shingle))
+    buckets = met(signed)
+    release(signed)
     wanted = cut(buckets.select(F.explode(F.array("lead", "id")).alias("id")).distinct())
     texts = texts_of(every, wanted)
-    nodes = cut(texts.select("id", "node", F.size(F.array_distinct(shingles(F.col("line"), shingle))).alias("size")))
+    nodes = texts.select("id", "node")
+    rows = in_buckets(buckets, nodes)
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    about = cut(texts.select("node", "line").join(described(texts, shingle), "node").join(keys, "node"))
 
     first = buckets.groupBy("id").agg(F.min("lead").alias("lead"))
     pairs = first.join(nodes.select("id", F.col("node").alias("b")), "id").join(nodes.select(F.col("id").alias("lead"), F.col("node").alias("a")), "lead")
-    judged = [cut(similar(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, shingle, threshold))]
-    tied = connected_components(judged[0].filter("ok"))
-
-    def more(pairs: DataFrame) -> DataFrame:
-        """The components, with what is found among pairs that were not judged before."""
-        for known in judged:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        judged.append(cut(similar(pairs, texts, shingle, threshold)))
-        links = judged[-1].filter("ok").select("a", "b")
+    # nodes that share a hash share their buckets, and their leader may be themselves
+    distinct = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tied = connected_components(similar(distinct, about.drop("keys"), shingle, threshold))
+    past, until = 0, HEADS
+    while True:
+        left = cut(mixed(rows.filter(F.col("n") > past), tied))
+        if left.isEmpty():
+            release(left)
+            break
+        links = across(left.join(about, "node"), past, until, shingle, threshold)
         found = connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-        release(tied)
-        return found
-
-    rows = in_buckets(buckets, nodes)
-    several = mixed(rows, tied)
-    tied = more(across(several.filter(F.col("place") <= HEADS), several, ["key"], f"place_ > {HEADS} or node < node_", threshold))
-    several = cut(mixed(rows.filter(F.col("n") > HEADS), tied))
-    maps = cut(bitmaps(texts.join(several.select("node").distinct(), "node"), shingle))
-    tied = more(chunked(several.join(maps, "node"), threshold))
+        release(tied, left)
+        tied, past, until = found, until, until * WIDER
     named = cut(texts.select("node", "id", "more").join(tied, "node").select("id", "more", "component"))
-    release(buckets, wanted, texts, nodes, rows, several, maps, tied, *judged)
+    release(buckets, wanted, texts, rows, about, tied)
     return named
 
 

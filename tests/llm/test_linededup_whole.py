@@ -71,3 +71,20 @@ def test_every_pair_of_a_crowded_bucket_meets(spark, monkeypatch):
     want = plain_groups(texts)
     assert sum(want[i] != i for i in want) >= 15
     assert groups(spark, texts) == want
+
+
+def test_links_of_a_crowded_bucket_are_few(spark, monkeypatch):
+    """Families of similar lines in one bucket: each is one component before all of its pairs are formed."""
+    monkeypatch.setattr(linededup, "bands", lambda: [[], []])  # twice one bucket of all lines
+    monkeypatch.setattr(linededup, "HEADS", 2)
+    monkeypatch.setattr(linededup, "WIDER", 4, raising=False)
+    monkeypatch.setattr(linededup, "CHUNK", 32)
+    edges, own = [], linededup.connected_components
+    monkeypatch.setattr(linededup, "connected_components", lambda links: edges.append(links.count()) or own(links))
+    rng = random.Random(3)
+    base = [" ".join(words(rng, "en", 60)) for _ in range(12)]
+    texts = [t for b in base for t in dict.fromkeys(edited(rng, b, 1) for _ in range(20))]
+    want = plain_groups(texts)
+    assert len(set(want.values())) == len(base)
+    assert groups(spark, texts) == want
+    assert max(edges) <= 6 * len(texts)  # within the families are over 2,000 pairs
