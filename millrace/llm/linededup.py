@@ -65,7 +65,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def blank(line: Column) -> Column:
-    return ~line.rlike(r"[^\x20\x09-\x0D]")
+    # stops at the first other character, where a regular expression has the line copied first
+    return F.ltrim(line, F.lit(" \t\n\v\f\r")) == ""
 
 
 def name(line: Column) -> list[Column]:
@@ -86,16 +87,17 @@ def shingles(line: Column, shingle: int) -> Column:
 
 
 def signatures(named: DataFrame, shingle: int) -> DataFrame:
-    """(id, more, h0, h1, ...): a row for each distinct (id, more, line). Only numbers are aggregated."""
+    """(id, more, n, h0, h1, ...): a row for each distinct (id, more, line), and on how many rows it is. Only numbers are aggregated."""
     told = named.select("id", "more", F.encode("line", "UTF-32").alias("raw"))
-    told = told.select("id", "more", "raw", count_of(F.col("raw"), shingle).alias("n"))
-    told = told.select("id", "more", "raw", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRIDE))).alias("at"))
+    told = told.select("id", "more", "raw", (count_of(F.col("raw"), shingle) * 4 - 3).alias("last"))
+    told = told.select("id", "more", "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STRIDE))).alias("at"))
     # beyond the end the last shingle is taken again, which changes no minimum
-    hashed = [F.hash(F.substring("raw", F.least(F.col("at") + j, F.col("n")) * 4 - 3, F.lit(4 * shingle))).alias(f"s{j}") for j in range(STRIDE)]
+    hashed = [F.hash(F.substring("raw", lesser(F.col("at") + 4 * j, F.col("last")), F.lit(4 * shingle))).alias(f"s{j}") for j in range(STRIDE)]
     # minima of pairs, then of these: comparisons without branches, each made once
     of = [[F.col(f"s{j}").bitwiseXOR(F.lit(mask(i))) for j in range(STRIDE)] for i in range(SIDE * SIDE)]
-    halves = told.select("id", "more", *hashed).select("id", "more", *[lesser(of[i][j], of[i][j + 1]).alias(f"p{i}_{j}") for i in range(SIDE * SIDE) for j in (0, 2)])
-    return halves.groupBy("id", "more").agg(*[F.min(lesser(F.col(f"p{i}_0"), F.col(f"p{i}_2"))).alias(f"h{i}") for i in range(SIDE * SIDE)])
+    once = F.when(F.col("at") == 1, 1).alias("once")  # of each line's rows the first
+    halves = told.select("id", "more", once, *hashed).select("id", "more", "once", *[lesser(of[i][j], of[i][j + 1]).alias(f"p{i}_{j}") for i in range(SIDE * SIDE) for j in (0, 2)])
+    return halves.groupBy("id", "more").agg(F.count("once").alias("n"), *[F.min(lesser(F.col(f"p{i}_0"), F.col(f"p{i}_2"))).alias(f"h{i}") for i in range(SIDE * SIDE)])
 
 
 def lesser(a: Column, b: Column) -> Column:
@@ -117,16 +119,20 @@ def mask(i: int) -> int:
     return (z ^ (z >> 31)) % (1 << 32) - (1 << 31)
 
 
+def keyed(signed: DataFrame) -> DataFrame:
+    """(id, more, n, k0, k1, ...): of the rows (id, more, n, h0, h1, ...) the key of the bucket in each band."""
+    return signed.select("id", "more", "n", *[F.xxhash64(F.lit(n), *[f"h{i}" for i in band]).alias(f"k{n}") for n, band in enumerate(bands())])
+
+
 def met(signed: DataFrame) -> DataFrame:
-    """(key, id, place): the rows (id, h0, h1, ...) of each bucket with several, but the first, numbered from 2; and its least ``lead``.
+    """(key, id, place): the rows (id, k0, k1, ...) of each bucket with several, but the first, numbered from 2; and its least ``lead``.
 
     Most buckets hold one row. Those with several are counted first, and a bitmap keeps most
     other rows from the shuffle. The leader is the first row of a running window, so a bucket
     is streamed, not held. The order is the same in all buckets, so lines that share several
     share a leader.
     """
-    keys = [F.xxhash64(F.lit(n), *[f"h{i}" for i in band]) for n, band in enumerate(bands())]
-    key = F.explode(F.array(*keys)).alias("key")
+    key = F.explode(F.array(*[f"k{n}" for n in range(len(bands()))])).alias("key")
     several = cut(signed.select(key).repartition("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     rows = signed.select("id", key).filter(maybe_in(F.col("key"), several, "key"))
     order = Window.partitionBy("key").orderBy("id")
@@ -172,8 +178,15 @@ def may_be_similar(threshold: float) -> Column:
 def are_similar(shingle: int, threshold: float) -> Column:
     """Whether the Jaccard similarity of two lines (line, size; line_, size_) reaches the threshold."""
     both = F.size(F.array_intersect(shingles(F.col("line"), shingle), shingles(F.col("line_"), shingle)))
-    # inline as a variable: the intersection is made once
-    return F.transform(F.array(both), lambda n: n >= threshold * (F.col("size") + F.col("size_") - n))[0]
+    # compared with a number, not within a lambda: so the intersection is compiled, over plain longs, and made once
+    return both >= least_shared(F.col("size") + F.col("size_"), threshold)
+
+
+def least_shared(sizes: Column, threshold: float) -> Column:
+    """The least n with n >= threshold * (sizes - n): so many elements must two sets of ``sizes`` together share."""
+    n = F.floor(sizes * (threshold / (1 + threshold))).cast("int")
+    # rounding may be off by one either way
+    return F.coalesce(*[F.when(n + d >= threshold * (sizes - n - d), n + d) for d in (-1, 0, 1)], n + 2)
 
 
 def other(rows: DataFrame) -> DataFrame:
@@ -219,9 +232,10 @@ def across(rows: DataFrame, past: int, until: int, shingle: int, threshold: floa
     return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
-def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """(id, more, component) of the distinct lines (doc_id, place, line) that are similar to others."""
-    signed = cut(signatures(every.select(*name(F.col("line")), "line"), shingle))
+def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(id, more, component) of the distinct lines (doc_id, place, line) that are similar to others, and (id, more) of those that stand in several places."""
+    signed = cut(keyed(signatures(every.select(*name(F.col("line")), "line"), shingle)))
+    repeated = cut(signed.filter("n > 1").select("id", "more"))
     buckets = met(signed)
     release(signed)
     wanted = cut(buckets.select(F.explode(F.array("lead", "id")).alias("id")).distinct())
@@ -248,7 +262,7 @@ def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = S
         tied, past, until = found, until, until * WIDER
     named = cut(texts.select("node", "id", "more").join(tied, "node").select("id", "more", "component"))
     release(buckets, wanted, texts, rows, about, tied)
-    return named
+    return named, repeated
 
 
 def line_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
@@ -261,17 +275,24 @@ def line_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMI
     left out. Other columns are ignored; an empty table gives an empty result.
     """
     every = lines(docs)
-    found = similar_lines(every.filter(~blank(F.col("line"))), shingle, threshold)
+    found, repeated = similar_lines(every.filter(~blank(F.col("line"))), shingle, threshold)
     alone = blank(F.col("line"))
-    named = every.select(*[F.when(~alone, c).alias(n) for c, n in zip(name(F.col("line")), ("id", "more"), strict=True)], "doc_id", "place")
+    # the texts are split a last time; what follows reads numbers
+    named = cut(every.select(*[F.when(~alone, c).alias(n) for c, n in zip(name(F.col("line")), ("id", "more"), strict=True)], "doc_id", "place"))
     # classes of one line that no other is similar to need nothing more
-    counted = named.filter("id is not null").groupBy("id", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("own"))
-    tied = cut(counted.join(found, ["id", "more"], "left").filter("n > 1 or component is not null").select("id", "more", "own", "component"))
+    several = cut(found.unionByName(repeated, allowMissingColumns=True).groupBy("id", "more").agg(F.max("component").alias("component")))
+    # a bitmap keeps most other classes from the aggregation; the join decides
+    owns = named.filter(maybe_in(F.col("id"), several, "id")).groupBy("id", "more").agg(F.min(F.struct("doc_id", "place")).alias("own"))
+    tied = cut(several.join(owns, ["id", "more"]))
     firsts = tied.filter("component is not null").groupBy("component").agg(F.min("own").alias("shared"))
-    known = tied.join(firsts, "component", "left").select("id", "more", F.coalesce("shared", "own").alias("first"))
-    first = F.coalesce("first", F.struct("doc_id", "place"))
-    out = named.join(known, ["id", "more"], "left").select("doc_id", "place", first.alias("first"))
-    return out.select("doc_id", "place", (F.col("first") == F.struct("doc_id", "place")).alias("kept"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"))
+    known = cut(tied.join(firsts, "component", "left").select("id", "more", F.coalesce("shared", "own").alias("first")))
+    release(found, repeated, several, tied)
+    own, columns = F.struct("doc_id", "place"), ["doc_id", "place", "kept", "first_doc_id", "first_place"]
+    may = F.coalesce(maybe_in(F.col("id"), known, "id"), F.lit(False))
+    apart = named.filter(~may).withColumns({"kept": F.lit(True), "first_doc_id": F.col("doc_id"), "first_place": F.col("place")})
+    met_again = named.filter(may).join(known, ["id", "more"], "left").withColumn("first", F.coalesce("first", own))
+    rest = met_again.withColumns({"kept": F.col("first") == own, "first_doc_id": F.col("first.doc_id"), "first_place": F.col("first.place")})
+    return apart.select(*columns).unionByName(rest.select(*columns))
 
 
 def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
@@ -284,6 +305,7 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     """
     groups = line_groups(docs, **parameters)
     gone = cut(groups.filter("not kept").groupBy("doc_id").agg(F.collect_set("place").alias("gone")).withColumnRenamed("doc_id", "gone_id"))
+    release(groups)
     apart, met = split_by(docs, "doc_id", gone, "gone_id")
     joined = met.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id")).join(gone, F.col("own_id") == F.col("gone_id"), "left")
     split = joined.select("row", "gone", F.split("row.text", "\n").alias("own_lines"))

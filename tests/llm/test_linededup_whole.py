@@ -88,3 +88,44 @@ def test_links_of_a_crowded_bucket_are_few(spark, monkeypatch):
     assert len(set(want.values())) == len(base)
     assert groups(spark, texts) == want
     assert max(edges) <= 6 * len(texts)  # within the families are over 2,000 pairs
+
+
+def test_texts_are_not_split_for_the_result(spark):
+    """The result reads numbers only."""
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, "en", 30)) for _ in range(20)]
+    found = linededup.line_groups(frame(spark, [(i, t, None, None, None) for i, t in enumerate([*texts, texts[0]])]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "split(" not in plan
+    assert [r[:4] for r in rows_of(found) if not r[2]] == [(20, 0, False, 0)]
+
+
+def test_characters_beyond_two_bytes(spark):
+    """A line with such a character shares all other shingles with the line without it; a byte order mark is a character."""
+    rng = random.Random(8)
+    text = " ".join(words(rng, "de", 40))
+    texts = [text, text + " \U0001f600", "\ufeff" + text, "\ufeff" + text + "\U0001f600\U0001f601", "\U0001f600" * 40, "\U0001f600" * 30 + "a"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string").select("i", linededup.shingles(linededup.F.col("line"), 8).alias("hs"))
+    sets = {i: set(hs) for i, hs in rows_of(got)}
+    for i, a in enumerate(texts):
+        assert len(sets[i]) == len(shingles(a))
+        for j, b in enumerate(texts):
+            assert len(sets[i] & sets[j]) == len(shingles(a) & shingles(b))
+    assert groups(spark, texts) == plain_groups(texts)
+
+
+def test_signatures_are_compiled(spark):
+    """No method is above the 8,000 bytes beyond which the JVM interprets; lines are counted and their minima those of all shingles."""
+    line = linededup.F.col("line")
+    rows = [("ab",), ("ab",), ("x" * 20 + "\U0001f600",), ("a line of text",)]
+    signed = linededup.signatures(spark.createDataFrame(rows, "line string").select(*linededup.name(line), "line"), 8)
+    told = signed._jdf.queryExecution().debug().codegenToSeq()
+    assert all(told.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(told.size()))
+    assert sorted(r.n for r in signed.collect()) == [1, 1, 2]
+
+
+def test_least_shared(spark):
+    sizes = spark.range(1, 3000).select(linededup.F.col("id").cast("int").alias("s"))
+    for threshold in (0.8, 0.5, 0.7, 0.95, 1.0):
+        for s, n in rows_of(sizes.select("s", linededup.least_shared(linededup.F.col("s"), threshold))):
+            assert n >= threshold * (s - n) and not n - 1 >= threshold * (s - n + 1)
