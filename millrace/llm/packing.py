@@ -19,14 +19,17 @@ from __future__ import annotations
 
 import gc
 import heapq
+import json
 import os
-import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +42,14 @@ CHUNK = 16 * WINDOW
 END = 2
 #: What ends a sentence, where no letter or digit stands beside it in a token.
 STOPS = ".!?。！？؟।…"
-#: Marks that are split off a chunk; each is neither letter, digit nor white space, and begins no contraction.
-MARKS = ".,;:!?"
-#: Chunks between white space whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+#: Marks that are split off a chunk; each is neither letter, digit nor white space, begins no contraction and stands in no special token.
+MARKS = ".,;:!?\"#$%&()*+-/=@[\\]^_`{}~"
+#: Chunks not made of Latin-1 letters and marks whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 100_000
+#: Bytes of a chunk that is merged in numpy, words merged together, and what no token's id is.
+LONGEST, COLUMNS, OUTSIDE = 64, 4096, (1 << 20) - 1
+#: Bytes of text that are encoded together (a single document is not split).
+TOGETHER = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -51,8 +58,100 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """Byte-pair merges of many words of up to LONGEST bytes at once, in numpy.
+
+    In each round every word merges its pair of lowest rank, the leftmost of several. Words of
+    about the same length are the columns of a table with a row for each place, in which each
+    place knows the next and the previous one that is left.
+    """
+
+    def __init__(self, merges: list, vocabulary: dict[str, int]):
+        self.single, self.last = (np.array([vocabulary[chr(BYTE_CHARS.get(b, b)) + end] for b in range(256)]) for end in ("", "</w>"))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        self.made = np.array([vocabulary[a + b] for a, b in pairs])
+        self.none = len(pairs)
+        # an open hash table of pair << 20 | rank
+        self.shift = 64 - max(8, (4 * len(pairs)).bit_length())
+        self.table = np.full((1 << 64 - self.shift) + len(pairs), -1, np.int64)
+        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs])
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            while self.table[at] >= 0:
+                at += 1
+            self.table[at] = key << 20 | rank
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 20 | b
+        at = self._slot(key)
+        found = self.table[at]
+        rank = np.where(found >> 20 == key, found & 0xFFFFF, self.none)
+        rest = np.flatnonzero((found >= 0) & (found >> 20 != key))
+        while len(rest):
+            at[rest] += 1
+            found = self.table[at[rest]]
+            hit = found >> 20 == key[rest]
+            rank[rest[hit]] = found[hit] & 0xFFFFF
+            rest = rest[(found >= 0) & ~hit]
+        return rank
+
+    def ids(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, n): the ids of word i are ids[first[i] : first[i] + n[i]]. The words' bytes in one, and their ends; none is empty."""
+        sizes = np.diff(np.r_[0, ends])
+        order = np.argsort(sizes, kind="stable")
+        parts, n = [np.zeros(0, np.int64)], np.zeros(len(ends), np.int64)
+        at = 0
+        while at < len(order):
+            width = int(sizes[order[at]]) + 1
+            end = min(at + COLUMNS, int(np.searchsorted(sizes, width, "right", sorter=order)))
+            own = order[at:end]
+            ids, n[own] = self._table(raw, ends[own] - sizes[own], sizes[own])
+            parts.append(ids)
+            at = end
+        first = np.zeros(len(ends), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(parts), first, n
+
+    def _table(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, width = len(sizes), int(sizes.max())
+        place = np.arange(width)[:, None]
+        # a row before and one after the words' places, of a symbol that no pair has
+        symbol = np.full((width + 2, words), OUTSIDE)
+        symbol[1:-1] = np.where(place < sizes, self.single[raw[np.minimum(begins + place, len(raw) - 1)]], OUTSIDE)
+        symbol[sizes, np.arange(words)] = self.last[raw[begins + sizes - 1]]
+        symbol = symbol.ravel()
+        after, before = np.arange(len(symbol)) + words, np.arange(len(symbol)) - words
+        none = self.none << 32
+        # by rank, then place
+        best = np.full(len(symbol), none)
+        inner = np.arange(words, words * (width + 1))
+        best[inner] = self._rank(symbol[inner], symbol[inner + words]) << 32 | inner
+        while True:
+            least = best.reshape(-1, words).min(axis=0)
+            least = least[least < none]
+            if not len(least):
+                break
+            at = least & 0xFFFFFFFF
+            gone = after[at]
+            then, prior = after[gone], before[at]
+            made = self.made[least >> 32]
+            symbol[at], symbol[gone], best[gone] = made, -1, none
+            after[at], before[then] = then, at
+            best[at] = self._rank(made, symbol[then]) << 32 | at
+            best[prior] = self._rank(symbol[prior], made) << 32 | prior
+        table = symbol.reshape(-1, words)[1:-1].T
+        left = (table >= 0) & (table != OUTSIDE)
+        return table[left], left.sum(axis=1)
+
+
 class WordIds:
-    """Ids of texts. The pre-tokeniser never crosses white space, so chunks are encoded once and remembered."""
+    """Ids of texts. The pre-tokeniser never crosses white space, so of many texts each distinct chunk is encoded once.
+
+    A chunk of Latin-1 letters, then marks, is one pre-token each, in the normal form once
+    lower-cased; these go straight to the merges, all others to the tokeniser.
+    """
 
     def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,51 +159,89 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        self.known: dict[str, bytes] = {"": b""}
+        self.merges = Merges(json.loads(Path(path).read_text("utf-8"))["model"]["merges"], self.tokenizer.get_vocab())
+        self.known: dict[bytes, list[int]] = {}
         size = self.tokenizer.get_vocab_size() + 1
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             bare = _plain(token.removesuffix("</w>"))
             self.ends[i] = token.endswith("</w>") and any(c in STOPS for c in bare) and not any(c.isalnum() for c in bare)
 
-    def _words(self, words: list[str]) -> None:
-        """Words of Latin-1 letters are one pre-token each, in the normal form once lower-cased: straight to the model."""
-        tokenize, known = self.tokenizer.model.tokenize, self.known
-        for word in words:
-            low = word.lower()
-            ids = [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))]
-            known[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _any(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 1024):
-            part = chunks[at : at + 1024]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        """A run of marks after a letter or digit of Latin-1 (which stays one) is a pre-token of its own."""
-        split = [(c, b, c[len(b) :]) for c in new if (b := c.rstrip(MARKS)) != c and b and b[-1] <= "ÿ" and b[-1].isalnum()]
-        parts = {b for _, b, _ in split} | {m for _, _, m in split} | new.difference(c for c, _, _ in split)
-        parts = {p for p in parts if p not in self.known}  # a set minus the keys would walk all keys
-        words = [w for w in parts if w.isalpha() and _latin(w)]
-        self._words(words)
-        self._any(list(parts.difference(words)))
-        known = self.known
-        known.update((c, known[b] + known[m]) for c, b, m in split)
+    def _others(self, chunks: list[bytes]) -> list[list[int]]:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, new = self.known, [c for c in chunks if c not in self.known]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)), strict=True))
+        return [known[c] for c in chunks]
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, n): the ids of chunk i (bytes that end in a space) are ids[first[i] : first[i] + n[i]]."""
+        raw, ends = _bytes_of(chunks)
+        owner = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        lead, follow = raw[:-1], raw[1:]
+        pair = np.append(((lead == 0xC3) & _IS_C3[follow]) | ((lead == 0xC2) & _IS_C2[follow]), False)
+        second = np.r_[False, pair[:-1]]
+        letter, mark = _IS_LETTER[raw] | pair | second, _IS_MARK[raw]
+        strange = ~(letter | mark | (raw == 32))
+        strange[1:] |= letter[1:] & mark[:-1]
+        plain = np.ones(len(ends), bool)
+        plain[owner[strange]] = False
+        plain &= np.diff(np.r_[0, ends]) <= LONGEST
+
+        at = np.flatnonzero((letter | mark) & plain[owner])
+        low, marks, of = np.where(second, _LOWER_C3[raw], _LOWER[raw])[at], mark[at], owner[at]
+        starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (marks[1:] != marks[:-1])]) if len(at) else at
+        words = _binary(low, np.append(starts[1:], len(at)) if len(at) else at).dictionary_encode()
+        word = words.indices.to_numpy(zero_copy_only=False)
+        ids, first, sizes = self.merges.ids(*_bytes_of(words.dictionary))
+        ids, n = _gathered(ids, first, sizes, word), np.bincount(of[starts], sizes[word], len(ends)).astype(np.int64)
+        first = np.cumsum(n) - n
+        if len(rest := np.flatnonzero(~plain)):
+            found = self._others([c[:-1] for c in chunks.take(pa.array(rest)).to_pylist()])
+            n[rest] = [len(x) for x in found]
+            first[rest] = len(ids) + np.cumsum(n[rest]) - n[rest]
+            ids = np.append(ids, np.fromiter(chain.from_iterable(found), np.int64))
+        return ids, first, n
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in split]
-        missing = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        if new := {chunks[i] for chunks, at in zip(split, missing, strict=True) for i in at}:
-            self._learn(new)
-            for chunks, ids, at in zip(split, found, missing, strict=True):
-                for i in at:
-                    ids[i] = self.known[chunks[i]]
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join(ids) + end, "<u4") for ids in found]
+        if not texts:
+            return []
+        raw = [t.encode() if t else b"" for t in texts]
+        data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        data = np.where((data == 9) | (data == 10), np.uint8(32), data)
+        ends = np.flatnonzero(data == 32) + 1
+        chunks = _binary(data, ends).dictionary_encode()
+        ids, first, n = self._chunks(chunks.dictionary)
+        # after a document's last chunk comes one that is END
+        last = np.searchsorted(ends, np.cumsum([len(r) + 1 for r in raw])) + 1
+        chunk = np.insert(chunks.indices.to_numpy(zero_copy_only=False), last, len(n))
+        ids, first, n = np.append(ids, END).astype("<u4"), np.append(first, len(ids)), np.append(n, 1)
+        stops = np.cumsum(n[chunk])[last + np.arange(len(last))].tolist()
+        every = _gathered(ids, first, n, chunk)
+        return [every[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An array of the strings of bytes that end at ``ends``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data)])
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings in one, and their ends."""
+    if not len(strings):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), at[1:] - at[0]
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each i of ``of`` the n[i] values from first[i] on, one after the other."""
+    sizes = n[of]
+    stops = np.cumsum(sizes)
+    return values[np.repeat(first[of] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 def _latin(text: str) -> bool:
@@ -122,6 +259,13 @@ def _byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = _byte_chars()
+_BYTE = np.arange(256, dtype=np.uint8)
+_IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_IS_MARK = np.array([chr(b) in MARKS for b in range(256)])
+#: Latin-1 letters of two bytes, by the second one, after 0xC2 and 0xC3; their lower case differs in that one only.
+_IS_C2, _IS_C3 = (np.array([0x80 <= b < 0xC0 and bytes([lead, b]).decode().isalpha() for b in range(256)]) for lead in (0xC2, 0xC3))
+_LOWER = np.where(_IS_LETTER & (_BYTE < ord("a")), _BYTE + 32, _BYTE).astype(np.uint8)
+_LOWER_C3 = np.where(_IS_C3 & (_BYTE < 0x9F), _BYTE + 32, _BYTE).astype(np.uint8)
 _BYTES = {chr(c): chr(b) for b, c in BYTE_CHARS.items()}
 _WORDS: dict[tuple[str, bool], WordIds] = {}
 
@@ -287,6 +431,16 @@ class Packer:
             begin, self.sequence = end, self.sequence + 1
 
 
+def together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows whose texts have up to TOGETHER bytes; a larger one stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+        yield at, end - at
+        at = end
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False, special: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece of each document.
 
@@ -323,11 +477,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        gc.disable()  # nothing here makes cycles, and the words remembered are many
+        gc.disable()  # nothing here makes cycles, and the chunks remembered are many
         try:
             for b in batches:
-                for at in range(0, b.num_rows, 128):
-                    part = b.slice(at, 128)
+                for at, n in together(b.column(1)):
+                    part = b.slice(at, n)
                     ids = words.texts(part.column(1).to_pylist())
                     known.update((number + i, (d, len(x))) for i, (d, x) in enumerate(zip(part.column(0).to_pylist(), ids, strict=True)))
                     pieces = list(packer.add(number, ids))

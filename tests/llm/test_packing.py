@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -62,6 +63,25 @@ def test_remembered_chunks_encode_as_whole_texts(texts):
     assert [x.tolist() for x in own.texts(texts)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
 
 
+def test_many_distinct_words_are_not_remembered():
+    """Words and marks after them are merged together and leave nothing in the worker's memory."""
+    rng = np.random.default_rng(3)
+    letters, marks = list("aabcdeeinrstthßéÀZ"), ["", "", ".", "###", "%%%", ",***", '"', "_("]
+    chunks = ["".join(rng.choice(letters, rng.integers(1, 14))) + rng.choice(marks) for _ in range(30_000)]
+    chunks += ["a" * n for n in range(1, 140)] + ["\u00b5\u00d7", "...", "it's", "a.b", "3.5%", "x²!", "«a»", "\u0301.", "e\u0301=", "ab<|endoftext|>..", "ÀÞ\u00ff\u00df\u00d7"]
+    texts = [" ".join(chunks[at : at + 500]) for at in range(0, len(chunks), 500)]
+    t, own = encoder(), packing.WordIds(packing.default_tokenizer())
+    assert [x.tolist() for x in own.texts(texts)] == [[*e.ids, 2] for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(own.known) < 200
+
+
+def test_texts_are_encoded_in_bounded_groups():
+    texts = pa.array(["a" * n if n else None for n in (0, 5, packing.TOGETHER, 3, packing.TOGETHER + 1, 0, 7)])
+    assert list(packing.together(texts)) == [(0, 2), (2, 1), (3, 1), (4, 1), (5, 2)]
+    assert list(packing.together(texts.slice(5))) == [(0, 2)]
+    assert list(packing.together(texts.slice(0, 0))) == []
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 16), st.sampled_from([0, 8, 64])), min_size=1, max_size=14))
 def test_cuts_are_optimal(steps):
