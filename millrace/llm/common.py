@@ -12,12 +12,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a bitmap for each key, and in all: 2**26 bits are 8 MB.
 BITS_A_KEY = 32
 MAX_BITS = 1 << 26
+#: Tasks a core, and rows of a small table in a file.
+WAVES = 8
+FILE_ROWS = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Reliable checkpoint in the shared folder, of ``files`` files at most."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(files) if files else df).checkpoint(eager=True)
+
+
+def waves(spark: SparkSession) -> int:
+    """A number of partitions that keeps all cores busy WAVES times; more make nothing shorter, but a file each."""
+    return WAVES * spark.sparkContext.defaultParallelism
+
+
+def files_for(rows: int) -> int:
+    """How many files so many rows of a small table are."""
+    return max(1, -(-rows // FILE_ROWS))
 
 
 def release(*frames: DataFrame) -> None:

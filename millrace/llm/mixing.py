@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, cut, word_count
+from millrace.llm.common import WORD, cut, files_for, waves, word_count
 
 BUDGET = 1.5
 CAP = 2
@@ -68,9 +68,11 @@ def targets(sources: DataFrame, budget: float = BUDGET, cap: float = CAP) -> Dat
     return sources.withColumn("target", F.when(F.col("weight") * F.lit(share) > limit, limit).otherwise(F.col("weight") * F.lit(share)))
 
 
-def sainte_lague(rows: DataFrame, group: list[str], key: list[str], weight: str, seats: str) -> DataFrame:
+def sainte_lague(rows: DataFrame, group: list[str], key: list[str], weight: str, seats: str, files: int | None = None) -> DataFrame:
     """Adds ``quota``: the ``seats`` of each group dealt to its rows by the highest quotients weight / (2 * quota + 1).
 
+    files: how many the rows are kept in meanwhile.
+
     Ties go to the smaller ``key``. Rounding weight * seats / total misses the seats by at most
     half the group's rows; a row gains or loses at most its share of that and one more, which
     are the only quotients ranked.
@@ -80,7 +82,7 @@ def sainte_lague(rows: DataFrame, group: list[str], key: list[str], weight: str,
     sums = F.broadcast(sums) if not group else sums
     share = F.when(F.col("all") > 0, F.col(weight) / F.col("all")).otherwise(0.0)
     dealt = marked.join(sums, marked.g.eqNullSafe(sums.g)).drop(sums.g).withColumn("share", share)
-    dealt = cut(dealt.withColumn("first", F.floor(F.col("share") * F.col(seats) + 0.5).cast("bigint")))
+    dealt = cut(dealt.withColumn("first", F.floor(F.col("share") * F.col(seats) + 0.5).cast("bigint")), files)
     missing = dealt.groupBy("g").agg((F.max(seats) - F.sum("first")).alias("missing")).filter("missing <> 0")
     steps = F.ceil(F.col("share") * F.col("members") / 2).cast("bigint") + 1
     odd = dealt.join(F.broadcast(missing) if not group else missing, dealt.g.eqNullSafe(missing.g)).drop(missing.g).filter(F.col(weight) > 0)
@@ -127,20 +129,26 @@ def mix(docs: DataFrame, seed: int = SEED, shard_rows: int = SHARD_ROWS, row: Co
     counted: ``taken div size`` whole passes, and the first ``taken % size`` words once more.
     A null source is a source. Sources without a word have target 0; without any word nothing
     is taken. Rows that repeat a doc_id are documents of their own. Reruns agree.
+
+    The tables of sources and shards are kept in as few files as they need, and none in more
+    than a few a core: on a local file system the JVM starts two processes for each.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (row if row is not None else F.lit(0)).alias("row")))
+    most = waves(docs.sparkSession)
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (row if row is not None else F.lit(0)).alias("row")), most)
+    few = files_for(sized.agg(F.approx_count_distinct("source")).first()[0])
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    sources = cut(targets(cut(weights(totals))))
-    low, whole = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target")).first()
+    sources = cut(targets(cut(weights(totals), few)), few)
+    shard_count = F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")
+    low, whole, shards_in_all = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target"), F.sum(shard_count)).first()
     block = int(max(1, min(BLOCK, (low or 0) / MIN_BLOCKS)))
     seats = int(round((whole or 0) / block))
-    quotas = sainte_lague(sources.withColumn("seats", F.lit(seats).cast("bigint")), [], ["source"], "target", "seats")
-    quotas = quotas.withColumn("shards", F.ceil(F.col("rows") / F.lit(shard_rows)).cast("int")).drop("seats", "weight")
+    quotas = sainte_lague(sources.withColumn("seats", F.lit(seats).cast("bigint")), [], ["source"], "target", "seats", few)
+    quotas = quotas.withColumn("shards", shard_count).drop("seats", "weight")
 
     placed = with_source(sized, quotas.withColumnsRenamed({"quota": "source_quota"}))
     placed = placed.withColumn("shard", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.col("shards")).cast("int"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.max("source_quota").alias("source_quota"))
-    shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_quota")
+    shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_quota", files_for(shards_in_all or 0))
     shards = shards.select(F.col("source").alias("s"), F.col("shard").alias("h"), F.col("shard_size").cast("bigint").alias("shard_size"), "quota")
 
     known = placed.join(shards, placed.source.eqNullSafe(shards.s) & (placed.shard == shards.h)).drop("s", "h")
@@ -150,7 +158,7 @@ def mix(docs: DataFrame, seed: int = SEED, shard_rows: int = SHARD_ROWS, row: Co
     passes = F.when(F.col("shard_size") > 0, F.call_function("div", words, F.nullif("shard_size", F.lit(0)))).otherwise(0)
     rest = words - passes * F.col("shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("begun")))
-    return known.withColumn("begun", begun).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "row")
+    return known.withColumn("begun", begun).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "row").coalesce(most)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -1,9 +1,12 @@
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import mixing
+from millrace.scratch import shared_folder
 from tests.llm.fixtures import documents, frame, rows_of
 
 
@@ -106,3 +109,18 @@ def test_mixed_rows_have_the_words_taken(spark):
         words[doc_id] += size_of(text)
         assert n_chars == len(text)
     assert words == {k: v for k, v in taken.items() if v}
+
+
+def test_small_tables_are_few_files(spark):
+    """However many shuffle partitions there are, the tables of sources and shards are a file each, and no other has more than a few a core."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "90")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder = Path(urlparse(shared_folder(session)).path)
+    before = set(folder.rglob("part-*"))
+    rows = documents()
+    mixed = mixing.mix(frame(session, rows).repartition(70), shard_rows=10)
+    files = set(folder.rglob("part-*")) - before
+    most = 8 * session.sparkContext.defaultParallelism
+    assert len(files) <= most + 4 and mixed.rdd.getNumPartitions() <= most
+    assert sorted(map(str, rows_of(mixed))) == sorted(map(str, rows_of(mixing.mix(frame(spark, rows), shard_rows=10))))
