@@ -55,6 +55,10 @@ WIDER = 32
 WORDS = 16
 #: Lines of a bucket whose pairs with as many others are formed under one key.
 CHUNK = 1024
+#: Keys of buckets that are sorted together, about.
+TOGETHER = 1 << 19
+#: A key that HOT of every SAMPLED-th lines have is known to be of several, and is not sorted.
+HOT, SAMPLED = 8, 1024
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -124,21 +128,41 @@ def keyed(signed: DataFrame) -> DataFrame:
     return signed.select("id", "more", "n", *[F.xxhash64(F.lit(n), *[f"h{i}" for i in band]).alias(f"k{n}") for n, band in enumerate(bands())])
 
 
+def of_several(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(several, hot): together at least the keys (key) that stand on several of the rows (id, k0, k1, ...); hot has those of very many.
+
+    Keys are collected by their remainders and sorted, so that equal ones are neighbours: they
+    travel as arrays, where rows of one key each cost more to shuffle than to compare. The hot
+    ones are told by a sample first, so no array grows with a bucket; the sample decides nothing else.
+    """
+    key = F.explode(F.array(*[f"k{n}" for n in range(len(bands()))])).alias("key")
+    sampled = cut(signed.filter(F.pmod("id", F.lit(SAMPLED)) == 0))
+    hot = cut(sampled.select(key).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT).select("key"))
+    groups = 1 + sampled.count() * SAMPLED * len(bands()) // TOGETHER
+    release(sampled)
+    apart = signed.select(key).filter(~maybe_in(F.col("key"), hot, "key"))
+    held = apart.groupBy(F.pmod("key", F.lit(groups)).alias("group")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    each = held.select("keys", F.posexplode("keys").alias("at", "key"))
+    # of equal neighbours the first
+    first = ~F.get("keys", F.col("at") - 1).eqNullSafe(F.col("key"))
+    return cut(each.filter((F.get("keys", F.col("at") + 1) == F.col("key")) & first).select("key")), hot
+
+
 def met(signed: DataFrame) -> DataFrame:
     """(key, id, place): the rows (id, k0, k1, ...) of each bucket with several, but the first, numbered from 2; and its least ``lead``.
 
-    Most buckets hold one row. Those with several are counted first, and a bitmap keeps most
-    other rows from the shuffle. The leader is the first row of a running window, so a bucket
+    Most buckets hold one row. The keys of those with several are found first, and a bitmap keeps
+    most other rows from the shuffle. The leader is the first row of a running window, so a bucket
     is streamed, not held. The order is the same in all buckets, so lines that share several
     share a leader.
     """
     key = F.explode(F.array(*[f"k{n}" for n in range(len(bands()))])).alias("key")
-    several = cut(signed.select(key).repartition("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
-    rows = signed.select("id", key).filter(maybe_in(F.col("key"), several, "key"))
+    several, hot = of_several(signed)
+    rows = signed.select("id", key).filter(maybe_in(F.col("key"), several, "key") | maybe_in(F.col("key"), hot, "key"))
     order = Window.partitionBy("key").orderBy("id")
     own = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = cut(rows.select("key", F.first("id").over(own).alias("lead"), "id", F.row_number().over(order).alias("place")).filter("place > 1"))
-    release(several)
+    release(several, hot)
     return found
 
 
@@ -154,15 +178,17 @@ def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
 def described(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, size, w0, w1, ...) of each text (node, line): how many distinct shingles it has, and on each of WORDS * 64 bits the parity of those that fall there."""
     # the outer form, as in lines(); the lambda stays out of the generator, which is compiled then
-    sets = texts.select("node", F.array_distinct(shingles(F.col("line"), shingle)).alias("hs"))
-    each = sets.select("node", F.explode_outer("hs").alias("h"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
-    told = each.select("node", F.shiftrightunsigned(word, 2).alias("four"), word.bitwiseAND(F.lit(3)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    sets = texts.select("node", F.array_distinct(shingles(F.col("line"), shingle)).alias("hs")).withColumn("size", F.size("hs"))
+    told = sets.select("node", "size", "hs", F.explode_outer(F.sequence(F.lit(0), F.col("size") - 1, F.lit(STRIDE))).alias("at"))
     zero = F.lit(0).cast("bigint")
-    # four words a row first, so that a shingle touches four columns and not all
-    fours = told.groupBy("node", "four").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.call_function("if", F.col("w") == i, F.col("bit"), zero)).alias(f"v{i}") for i in range(4)])
-    maps = [F.bit_xor(F.call_function("if", F.col("four") == i // 4, F.col(f"v{i % 4}"), zero)).alias(f"w{i}") for i in range(WORDS)]
-    return fours.groupBy("node").agg(F.sum("n").cast("int").alias("size"), *maps)
+    told = told.select("node", "size", "at", *[F.coalesce(F.get("hs", F.col("at") + j), zero).alias(f"h{j}") for j in range(STRIDE)])
+    # several shingles a row, as in signatures(); beyond the end there is no bit
+    bit = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(f"h{j}").bitwiseAND(F.lit(63)).cast("int")) for j in range(STRIDE)]
+    bits = [F.call_function("if", F.col("at") + j < F.col("size"), bit[j], zero).alias(f"b{j}") for j in range(STRIDE)]
+    of = [F.shiftrightunsigned(f"h{j}", 6).bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"of{j}") for j in range(STRIDE)]
+    told = told.select("node", "size", *of, *bits)
+    word = [reduce(Column.bitwiseXOR, [F.call_function("if", F.col(f"of{j}") == i, F.col(f"b{j}"), zero) for j in range(STRIDE)]) for i in range(WORDS)]
+    return told.groupBy("node", "size").agg(*[F.bit_xor(w).alias(f"w{i}") for i, w in enumerate(word)])
 
 
 def may_be_similar(threshold: float) -> Column:
