@@ -158,7 +158,8 @@ def met(signed: DataFrame) -> DataFrame:
     """
     key = F.explode(F.array(*[f"k{n}" for n in range(len(bands()))])).alias("key")
     several, hot = of_several(signed)
-    rows = signed.select("id", key).filter(maybe_in(F.col("key"), several, "key") | maybe_in(F.col("key"), hot, "key"))
+    # one bitmap for both: most rows are in neither
+    rows = signed.select("id", key).filter(maybe_in(F.col("key"), several.unionByName(hot), "key"))
     order = Window.partitionBy("key").orderBy("id")
     own = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = cut(rows.select("key", F.first("id").over(own).alias("lead"), "id", F.row_number().over(order).alias("place")).filter("place > 1"))
@@ -166,11 +167,16 @@ def met(signed: DataFrame) -> DataFrame:
     return found
 
 
-def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, id, more, line): a numbered row for each text among the lines whose ``id`` is wanted (id)."""
-    # most lines that meet no other are left out before the shuffle; the join decides
-    named = every.select(*name(F.col("line")), "line").filter(maybe_in(F.col("id"), wanted, "id"))
-    one = named.join(wanted, "id", "left_semi").groupBy("id", "more").agg(F.min("line").alias("line"))
+def named_lines(every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, more, doc_id, place, line): the lines (doc_id, place, line) by name, a blank one without. Those whose ``id`` may be wanted (id) keep their text."""
+    told = every.select(*[F.when(~blank(F.col("line")), c).alias(n) for c, n in zip(name(F.col("line")), ("id", "more"), strict=True)], "doc_id", "place", "line")
+    return told.withColumn("line", F.when(maybe_in(F.col("id"), wanted, "id"), F.col("line")))
+
+
+def texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, id, more, line): a numbered row for each text among the rows of named_lines() whose ``id`` is wanted (id)."""
+    # most lines that meet no other have no text; the join decides
+    one = named.filter("line is not null").select("id", "more", "line").join(wanted, "id", "left_semi").groupBy("id", "more").agg(F.min("line").alias("line"))
     # a checkpoint, so that the numbers stay what they are
     return cut(one.select(F.monotonically_increasing_id().alias("node"), "id", "more", "line"))
 
@@ -258,13 +264,15 @@ def across(rows: DataFrame, past: int, until: int, shingle: int, threshold: floa
     return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
-def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(id, more, component) of the distinct lines (doc_id, place, line) that are similar to others, and (id, more) of those that stand in several places."""
-    signed = cut(keyed(signatures(every.select(*name(F.col("line")), "line"), shingle)))
+def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, more, component) of the distinct lines (doc_id, place, line) that are similar to others, (id, more) of those that stand in several places, and all lines by name: named_lines()."""
+    signed = cut(keyed(signatures(every.filter(~blank(F.col("line"))).select(*name(F.col("line")), "line"), shingle)))
     repeated = cut(signed.filter("n > 1").select("id", "more"))
     buckets = met(signed)
     release(signed)
     wanted = cut(buckets.select(F.explode(F.array("lead", "id")).alias("id")).distinct())
+    # the texts are split a last time; what follows reads names, and the texts of lines that meet
+    every = cut(named_lines(every, wanted))
     texts = texts_of(every, wanted)
     nodes = texts.select("id", "node")
     rows = in_buckets(buckets, nodes)
@@ -286,9 +294,9 @@ def similar_lines(every: DataFrame, shingle: int = SHINGLE, threshold: float = S
         found = connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
         release(tied, left)
         tied, past, until = found, until, until * WIDER
-    named = cut(texts.select("node", "id", "more").join(tied, "node").select("id", "more", "component"))
+    found = cut(texts.select("node", "id", "more").join(tied, "node").select("id", "more", "component"))
     release(buckets, wanted, texts, rows, about, tied)
-    return named, repeated
+    return found, repeated, every
 
 
 def line_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
@@ -300,11 +308,7 @@ def line_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMI
     lines in the same place are one line, and there is a row for each. Rows without doc_id are
     left out. Other columns are ignored; an empty table gives an empty result.
     """
-    every = lines(docs)
-    found, repeated = similar_lines(every.filter(~blank(F.col("line"))), shingle, threshold)
-    alone = blank(F.col("line"))
-    # the texts are split a last time; what follows reads numbers
-    named = cut(every.select(*[F.when(~alone, c).alias(n) for c, n in zip(name(F.col("line")), ("id", "more"), strict=True)], "doc_id", "place"))
+    found, repeated, named = similar_lines(lines(docs), shingle, threshold)
     # classes of one line that no other is similar to need nothing more
     several = cut(found.unionByName(repeated, allowMissingColumns=True).groupBy("id", "more").agg(F.max("component").alias("component")))
     # a bitmap keeps most other classes from the aggregation; the join decides

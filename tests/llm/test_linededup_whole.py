@@ -100,6 +100,21 @@ def test_texts_are_not_split_for_the_result(spark):
     assert [r[:4] for r in rows_of(found) if not r[2]] == [(20, 0, False, 0)]
 
 
+def test_texts_are_split_twice(spark, monkeypatch):
+    """Once for the signatures and once for names and the texts that are compared."""
+    plain, splits = linededup.cut, []
+
+    def counted(df, *files):
+        splits.append("split(" in df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, *files)
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    line = " ".join(words(random.Random(6), "en", 40))
+    texts = [line, line + " x", "", line]
+    assert groups(spark, texts) == plain_groups(texts)
+    assert sum(splits) == 2
+
+
 def test_characters_beyond_two_bytes(spark):
     """A line with such a character shares all other shingles with the line without it; a byte order mark is a character."""
     rng = random.Random(8)
